@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 _ROC_OFFSET = 1911  # fixed value: year 1 of the ROC calendar is 1912
 _LAST_YEAR = 2261  # fixed value: last full year of a nanosecond timestamp
 
-_SHORT_YEAR = r"^\d{1,3}[-./]\d{1,2}[-./]\d{1,2}$"
-_LONG_YEAR = r"^\d{4}[-./]\d{1,2}[-./]\d{1,2}([ T].*)?$"
-_COMPACT = r"^\d{8}$"
-_YEAR_LAST = r"^\d{1,2}[-/]\d{1,2}[-/]\d{4}$"
+# Spellings that are brought to year-month-day order before anything else.
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_DAY_FIRST = r"^(1[3-9]|[23]\d)[-/](\d{1,2})[-/](\d{4})$"
+_MONTH_FIRST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})$"
+_GREGORIAN = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
+_ROC = r"^\d{1,3}-\d{1,2}-\d{1,2}$"
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -19,21 +21,27 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month, day).try_cast("date")
 
 
+def date_in_order(c: Column) -> Column:
+    """First step of B5: the cell as ``year-month-day`` text, whatever its spelling."""
+    text = F.regexp_replace(F.trim(c.cast("string")), _COMPACT, "$1-$2-$3")
+    text = F.regexp_replace(text, _DAY_FIRST, "$3-$2-$1")
+    return F.translate(F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2"), "./", "--")
+
+
+def date_from_ordered(c: Column) -> Column:
+    """Second step of B5: a 1-3 digit year is ROC, a 4 digit year Gregorian."""
+    roc_year = F.substring_index(c, "-", 1).cast("int") + _ROC_OFFSET
+    roc = F.concat(roc_year.cast("string"), F.substr(c, F.instr(c, "-")))
+    return F.when(c.rlike(_GREGORIAN), c.try_cast("date")).when(c.rlike(_ROC), roc.try_cast("date"))
+
+
 def parse_sales_date(c: Column) -> Column:
     """Date of one cell, judged by that cell alone.
 
     Three parts with a 1-3 digit year are ROC; a 4 digit year is Gregorian; then
-    ``yyyyMMdd``; then month-first before day-first when the year comes last.
+    ``yyyyMMdd``; with the year last, month-first unless that number is no month.
     """
-    text = F.trim(c.cast("string"))
-    parts = F.split(text, "[-./ T]")
-    first, second, third = parts[0], parts[1], parts[2]
-    return (
-        F.when(text.rlike(_SHORT_YEAR), _date(first.cast("int") + _ROC_OFFSET, second, third))
-        .when(text.rlike(_LONG_YEAR), _date(first, second, third))
-        .when(text.rlike(_COMPACT), _date(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
-        .when(text.rlike(_YEAR_LAST), F.coalesce(_date(third, first, second), _date(third, second, first)))
-    )
+    return date_from_ordered(date_in_order(c))
 
 
 def minguo_to_date(c: Column) -> Column:

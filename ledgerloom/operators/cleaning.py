@@ -19,7 +19,13 @@ _ZERO_WHEN_MISSING = (
 
 def _typed(df: DataFrame, kind: str, rule: Callable[[str, str], Column]) -> DataFrame:
     kinds = {f.name: f.kind for f in FIELDS[kind]}
-    return df.withColumns({c: rule(c, kinds[c]) for c in df.columns if c in kinds})
+    known = [c for c in df.columns if c in kinds]
+    # Dates take two projections, so that the reordered text is computed once per cell.
+    spelled = {c: dates.date_in_order(F.col(c)) for c in known if kinds[c] == "date"}
+    ordered = df.withColumns(spelled) if spelled else df
+    return ordered.withColumns({
+        c: dates.date_from_ordered(F.col(c)) if c in spelled else rule(c, kinds[c]) for c in known
+    })
 
 
 def clean_sales(landed: DataFrame) -> DataFrame:
@@ -29,8 +35,6 @@ def clean_sales(landed: DataFrame) -> DataFrame:
         col = F.col(c)
         if kind in _NUMBER_KINDS:
             return numbers.clean_number_sales(col, SPARK_TYPES[kind])
-        if kind == "date":
-            return dates.parse_sales_date(col)
         return names.canonical_key(col) if c.endswith(("_no", "_code")) else col
 
     clean = _typed(standardize(landed, "sales"), "sales", rule)
@@ -55,8 +59,6 @@ def clean_inventory(landed: DataFrame, truncate_all: bool = False) -> DataFrame:
             return numbers.scrub_masked_percent(col)
         if kind in _NUMBER_KINDS:
             return numbers.clean_number_value(col, SPARK_TYPES[kind])
-        if kind == "date":
-            return dates.parse_sales_date(col)
         return names.canonical_key(col) if c.endswith("_code") else col
 
     return _typed(standardize(landed, "inventory"), "inventory", rule)

@@ -38,18 +38,30 @@ def fill_by_order_id(
     """As C2, but rows of the same order number in a file share their values.
 
     A second header of the same order inherits what it leaves blank.  Rows before the
-    first header belong to no order and get nulls.
+    first header belong to no order and get nulls.  Whether any order does have a second
+    header is looked up first, on the header rows alone: usually none has, and the fill
+    per order number, which costs a second shuffle of all rows, is not needed.
     """
     columns = present(df, ORDER_COLUMNS) if columns is None else list(columns)
-    carried = forward_fill(df.withColumn("_order", F.col("order_no")), ["_order"], bucket_rows=bucket_rows)
-    known = forward_fill(
-        carried, columns, keys=(SOURCE_FILE, "_order"), bucket_rows=bucket_rows
-    )
-    filled = [
+    marked = df.withColumn("_order", F.col("order_no"))
+    if repeated_orders(df).isEmpty():
+        # No order has a second header in its file: one fill from header to header is all.
+        filled = forward_fill(
+            marked, [*columns, "_order"], reset=F.col("order_no").isNotNull(), bucket_rows=bucket_rows
+        )
+    else:
+        carried = forward_fill(marked, ["_order"], bucket_rows=bucket_rows)
+        filled = forward_fill(carried, columns, keys=(SOURCE_FILE, "_order"), bucket_rows=bucket_rows)
+    return filled.select(*[
         F.when(F.col("_order").isNotNull(), F.col(c)).alias(c) if c in columns else F.col(c)
         for c in df.columns
-    ]
-    return known.select(*filled)
+    ])
+
+
+def repeated_orders(df: DataFrame) -> DataFrame:
+    """Order numbers with more than one header in the same file."""
+    headers = df.filter(F.col("order_no").isNotNull())
+    return headers.groupBy(SOURCE_FILE, "order_no").count().filter("count > 1")
 
 
 def first_per_order(df: DataFrame) -> DataFrame:

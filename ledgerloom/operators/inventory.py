@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import sum_or_zero, try_ratio
 from ledgerloom.operators.cleaning import fill_defaults
 from ledgerloom.operators.ordered import number_rows
-from ledgerloom.operators.products import key_totals, period_columns, period_sums, pivot_months
+from ledgerloom.operators.products import period_columns, pivot_months, product_totals
 from ledgerloom.schema import PERIOD, ROW_NO, present
 
 
@@ -157,12 +157,7 @@ def sku_sales(
         skus = latest_per_sku(named, columns)
     else:
         skus = named.select("product_code", *columns)
-    known = lines.filter(F.col("product_code").isNotNull())
-    sold = key_totals(known, ["product_code"], ["ym"] if months else []).groupBy("product_code").agg(
-        F.sum("quantity").alias("sales_quantity"),
-        F.sum("subtotal").alias("sales_amount"),
-        *period_sums(months, "ym"),
-    )
+    sold = product_totals(lines, ["product_code"], "sales_quantity", "sales_amount", months)
     added = [c for c in sold.columns if c != "product_code"]
     joined = skus.join(sold, "product_code", "left").select(
         "product_code", *columns, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in added]

@@ -164,14 +164,16 @@ def number_rows(
     counts = stretches.groupBy(*keys, "_part").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first")
     )
-    # At most (shuffle partitions + keys) rows: every further row is a key spanning stretches.
+    # One row per stretch, and per further key a stretch holds.
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
         *keys,
         "_part",
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
     )
+    # Without keys there are at most as many stretches as shuffle partitions.
+    small = broadcast_if_small(offsets) if keys else F.broadcast(offsets)
     return (
-        stretches.join(broadcast_if_small(offsets), [*keys, "_part"])
+        stretches.join(small, [*keys, "_part"])
         .select(*df.columns, (F.col("_at") + F.col("_offset")).alias(name))
     )

@@ -1,9 +1,8 @@
 """Product summaries, month columns and full rankings.
 
-All of them start from one aggregation at the grain of the report (product and file or
-month).  It works on hash keys and numeric sums only, so a product that holds a large
-share of the lines is reduced on the map side; names, months and totals are then taken
-from that much smaller table.
+A product that holds a large share of the lines is reduced on the map side of one
+aggregation; month columns are conditional sums in it, so no product is looked at twice
+and no pivot or self-join is needed.
 """
 
 from __future__ import annotations
@@ -23,33 +22,26 @@ _SUMS = ("quantity", "subtotal", "cost_value")
 _TEXTS = ("product_name", "unit")
 
 
-def _grain(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sums per key, product name, unit and file, with the first row each was seen on."""
-    sums = {c: F.sum(c).alias(c) for c in present(lines, _SUMS)}
-    prices = [
-        F.sum("unit_price").alias("_price_sum"), F.count("unit_price").alias("_price_count")
-    ] if "unit_price" in lines.columns else []
-    return (
-        lines.filter(F.col("product_code").isNotNull())
-        .groupBy("product_code", *keys, *present(lines, _TEXTS), SOURCE_FILE)
-        .agg(*sums.values(), *prices, F.min(ROW_NO).alias("_row"))
-    )
-
-
 def _first(c: str) -> Column:
     """First non-null value in file and row order."""
-    return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(SOURCE_FILE, "_row"))).alias(c)
+    return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(SOURCE_FILE, ROW_NO))).alias(c)
 
 
-def _summary_columns(grain: DataFrame) -> list[Column]:
-    columns = [_first(c) for c in present(grain, _TEXTS)]
-    columns += [sum_or_zero(F.col(c)).alias(c) for c in present(grain, _SUMS)]
-    if "_price_sum" in grain.columns:
-        mean = F.try_divide(F.sum("_price_sum").cast("double"), F.sum("_price_count").cast("double"))
+def _summary_columns(lines: DataFrame) -> list[Column]:
+    columns = [_first(c) for c in present(lines, _TEXTS)]
+    columns += [sum_or_zero(F.col(c)).alias(c) for c in present(lines, _SUMS)]
+    if "unit_price" in lines.columns:
+        mean = F.try_divide(F.sum("unit_price").cast("double"), F.count("unit_price").cast("double"))
         columns.append(mean.alias("unit_price"))
     return columns
 
 
+def _by_product(lines: DataFrame, pattern: str | None, extra: Sequence[Column] = ()) -> DataFrame:
+    """The summary in one shuffle on the product code, combined on the map side first."""
+    chosen = filter_product(lines, pattern).filter(F.col("product_code").isNotNull())
+    return _ordered_summary(chosen.groupBy("product_code").agg(*_summary_columns(lines), *extra))
+
+
 def _ordered_summary(summary: DataFrame) -> DataFrame:
     if {"quantity", "subtotal"} <= set(summary.columns):
         summary = summary.withColumn(
@@ -69,8 +61,7 @@ def product_summary(lines: DataFrame, pattern: str | None = None, ordered: bool
     Name and unit are the first non-null ones in row order; the unit price is the plain
     mean of the lines.  Columns the lines do not have are left out.
     """
-    grain = _grain(filter_product(lines, pattern), [])
-    summary = _ordered_summary(grain.groupBy("product_code").agg(*_summary_columns(grain)))
+    summary = _by_product(lines, pattern)
     if not ordered or "subtotal" not in summary.columns:
         return summary
     return summary.orderBy(F.desc("subtotal"), "product_code")
@@ -85,13 +76,9 @@ def product_summary_by_period(
 ) -> DataFrame:
     """E10 plus quantity and amount of each listed period, 0 where there is none.
 
-    One pass: the period columns are conditional sums over the grain E10 needs anyway.
+    The period columns are conditional sums in the same aggregation as E10.
     """
-    grain = _grain(filter_product(lines, pattern), [period])
-    summary = grain.groupBy("product_code").agg(
-        *_summary_columns(grain), *period_sums(periods, period)
-    )
-    summary = _ordered_summary(summary)
+    summary = _by_product(lines, pattern, period_sums(periods, period))
     return summary.orderBy(F.desc("subtotal"), "product_code") if ordered else summary
 
 
@@ -133,8 +120,7 @@ def pivot_months(
     lines: DataFrame, months: Sequence[str], keys: Sequence[str] = ("product_code", "product_name")
 ) -> DataFrame:
     """Quantity and amount per key and listed month, 0 where there is none."""
-    grain = key_totals(lines, keys, ["ym"])
-    return grain.groupBy(*keys).agg(*period_sums(months, "ym"))
+    return _known(lines, keys).groupBy(*keys).agg(*period_sums(months, "ym"))
 
 
 def attach_months(ranked: DataFrame, pivot: DataFrame) -> DataFrame:
@@ -147,14 +133,21 @@ def attach_months(ranked: DataFrame, pivot: DataFrame) -> DataFrame:
     )
 
 
-def key_totals(lines: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    """Quantity and amount per key (null keys left out) and extra grouping column."""
-    known = lines
+def _known(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows without a null key: groups of null keys are not reported."""
     for k in keys:
-        known = known.filter(F.col(k).isNotNull())
-    return known.groupBy(*keys, *extra).agg(
-        sum_or_zero(F.col("quantity")).alias("quantity"),
-        sum_or_zero(F.col("subtotal")).alias("subtotal"),
+        lines = lines.filter(F.col(k).isNotNull())
+    return lines
+
+
+def product_totals(
+    lines: DataFrame, keys: Sequence[str], quantity: str, amount: str, months: Sequence[str] = ()
+) -> DataFrame:
+    """Total quantity and amount per key, and the same per listed month, in one aggregation."""
+    return _known(lines, keys).groupBy(*keys).agg(
+        sum_or_zero(F.col("quantity")).alias(quantity),
+        sum_or_zero(F.col("subtotal")).alias(amount),
+        *period_sums(months, "ym"),
     )
 
 
@@ -165,12 +158,7 @@ def rank_sold_products(lines: DataFrame, months: Sequence[str] = ()) -> DataFram
     computed by range, see :func:`ledgerloom.operators.ordered.number_rows`.
     """
     keys = ["product_code", "product_name"]
-    grain = key_totals(lines, keys, ["ym"] if months else [])
-    totals = grain.groupBy(*keys).agg(
-        F.sum("quantity").alias("total_quantity"),
-        F.sum("subtotal").alias("total_amount"),
-        *period_sums(months, "ym"),
-    )
+    totals = product_totals(lines, keys, "total_quantity", "total_amount", months)
     return number_rows(totals, [F.desc("total_amount"), F.asc("product_code"), F.asc("product_name")])
 
 
@@ -179,7 +167,7 @@ def top_n_products(lines: DataFrame, n: int = 50) -> DataFrame:
     amount are ignored."""
     complete = lines.dropna(subset=["product_code", "product_name", "quantity", "subtotal"])
     best = (
-        key_totals(complete, ["product_code", "product_name"], [])
+        product_totals(complete, ["product_code", "product_name"], "quantity", "subtotal")
         .orderBy(F.desc("subtotal"), "product_code", "product_name")
         .limit(n)
     )

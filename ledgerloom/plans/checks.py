@@ -250,8 +250,8 @@ def _(spark, sf):
 @query("b8_derive_calendar")
 def _(spark, sf):
     dated = _date_texts(spark, sf).withColumn("order_date", dates.parse_sales_date(F.col("date_text")))
-    shown = cleaning.derive_calendar(dated, raw="date_text").filter("ym is not null")
-    return shown.groupBy("year", "month", "ym").agg(F.count(F.lit(1)).alias("n"))
+    found = cleaning.derive_calendar(dated, raw="date_text").groupBy("year", "month", "ym")
+    return found.agg(F.count(F.lit(1)).alias("n")).fillna(0, ["year", "month"])
 
 
 @query("b9_check_contract")
