@@ -96,4 +96,4 @@ def sort_by(df: DataFrame, option: str, tie: Sequence[str] = ("product_code", "r
         return df
     key = F.col(f"`{column}`")
     first = key.asc_nulls_last() if ascending else key.desc_nulls_last()
-    return df.orderBy(first, *[F.col(c).asc() for c in present(df, tie) if c != column])
+    return df.orderBy(first, *[F.col(c).asc_nulls_last() for c in present(df, tie) if c != column])

@@ -4,7 +4,7 @@ The rows of an export are ordered by ``row_no`` inside their ``source_file``.  A
 per file would be one task per file, however large the file is.  Instead rows are cut
 into buckets of consecutive row numbers:
 
-* one aggregation (with map-side combine) reduces a bucket to the few values that later
+* an aggregation (with map-side combine) reduces a bucket to the few values that later
   buckets may need: its last reset and, per column, its last value;
 * a running maximum over that small table gives each bucket what it inherits;
 * a window per (file, bucket) does the rest, and the inherited values join in on the
@@ -49,14 +49,16 @@ def _inherited(
     bucketed: DataFrame, keys: Sequence[str], order_by: str, columns: Sequence[str]
 ) -> DataFrame:
     """Per bucket: the last reset and last values of all earlier buckets of the same key."""
-    # Rows that hold nothing (most line rows) are dropped before the aggregation sorts.
+    # The aggregation sorts, so it only sees rows that hold something (few line rows do);
+    # buckets without any such row still inherit, and are listed by a plain distinct.
     holding = F.col(_RESET).isNotNull()
     for c in columns:
         holding = holding | F.col(c).isNotNull()
-    summary = bucketed.filter(holding).groupBy(*keys, _BUCKET).agg(
+    latest = bucketed.filter(holding).groupBy(*keys, _BUCKET).agg(
         F.max(_RESET).alias(_RESET),
         *[F.max(_at(order_by, c)).alias(_HELD + c) for c in columns],
     )
+    summary = bucketed.select(*keys, _BUCKET).distinct().join(latest, [*keys, _BUCKET], "left")
     earlier = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
     held = [_RESET, *[_HELD + c for c in columns]]
     carried = summary.select(*keys, _BUCKET, *[F.max(h).over(earlier).alias(h) for h in held])
