@@ -30,7 +30,7 @@ def date_in_order(c: Column) -> Column:
 
 def date_from_ordered(c: Column) -> Column:
     """Second step of B5: a 1-3 digit year is ROC, a 4 digit year Gregorian."""
-    roc_year = F.substring_index(c, "-", 1).cast("int") + _ROC_OFFSET
+    roc_year = F.substring_index(c, "-", 1).try_cast("int") + _ROC_OFFSET
     roc = F.concat(roc_year.cast("string"), F.substr(c, F.instr(c, "-")))
     return F.when(c.rlike(_GREGORIAN), c.try_cast("date")).when(c.rlike(_ROC), roc.try_cast("date"))
 

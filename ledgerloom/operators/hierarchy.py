@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordered import BUCKET_ROWS, forward_fill, previous_value
 from ledgerloom.schema import LINE_COLUMNS, ORDER_COLUMNS, PERIOD, ROW_NO, SOURCE_FILE, present
+from ledgerloom.storage import broadcast_if_small, materialize
 
 _CALENDAR = ("year", "month", "ym")
 
@@ -39,25 +40,49 @@ def fill_by_order_id(
 
     A second header of the same order inherits what it leaves blank.  Rows before the
     first header belong to no order and get nulls.  Whether any order does have a second
-    header is looked up first, on the header rows alone: usually none has, and the fill
-    per order number, which costs a second shuffle of all rows, is not needed.
+    header is looked up first, on the header rows alone; usually none has, and the fill
+    from header to header is all there is to do.
     """
     columns = present(df, ORDER_COLUMNS) if columns is None else list(columns)
-    marked = df.withColumn("_order", F.col("order_no"))
-    if repeated_orders(df).isEmpty():
-        # No order has a second header in its file: one fill from header to header is all.
-        filled = forward_fill(
-            marked, [*columns, "_order"], reset=F.col("order_no").isNotNull(), bucket_rows=bucket_rows
-        )
+    runs = forward_fill(
+        df.withColumn("_order", F.col("order_no")), [*columns, "_order"],
+        reset=F.col("order_no").isNotNull(), reset_position="_head", bucket_rows=bucket_rows,
+    )
+    repeated = repeated_orders(df)
+    if repeated.isEmpty():
+        filled = runs
     else:
-        carried = forward_fill(marked, ["_order"], bucket_rows=bucket_rows)
-        filled = forward_fill(carried, columns, keys=(SOURCE_FILE, "_order"), bucket_rows=bucket_rows)
+        earlier = _earlier_runs(runs, repeated, columns, bucket_rows)
+        filled = runs.join(broadcast_if_small(earlier), [SOURCE_FILE, "_head"], "left").withColumns(
+            {c: F.coalesce(F.col(c), F.col(f"_earlier_{c}")) for c in columns}
+        )
     return filled.select(*[
         F.when(F.col("_order").isNotNull(), F.col(c)).alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])
 
 
+def _earlier_runs(
+    runs: DataFrame, repeated: DataFrame, columns: Sequence[str], bucket_rows: int
+) -> DataFrame:
+    """What each run of a repeated order inherits from that order's runs above it.
+
+    A run is a header with the rows up to the next header.  Its last values stand on its
+    last rows, already filled.  The small table of runs is written once, as three steps
+    of the next fill read it.
+    """
+    keys = [SOURCE_FILE, "_order"]
+    wanted = repeated.select(SOURCE_FILE, F.col("order_no").alias("_order"))
+    ends = runs.join(wanted, keys, "left_semi").groupBy(*keys, "_head").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ROW_NO))).alias(c) for c in columns]
+    )
+    above = forward_fill(
+        materialize(ends, "runs"), columns, keys=keys, order_by="_head",
+        bucket_rows=bucket_rows, only_above=True,
+    )
+    return above.select(SOURCE_FILE, "_head", *[F.col(c).alias(f"_earlier_{c}") for c in columns])
+
+
 def repeated_orders(df: DataFrame) -> DataFrame:
     """Order numbers with more than one header in the same file."""
     headers = df.filter(F.col("order_no").isNotNull())

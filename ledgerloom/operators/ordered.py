@@ -49,16 +49,17 @@ def _inherited(
     bucketed: DataFrame, keys: Sequence[str], order_by: str, columns: Sequence[str]
 ) -> DataFrame:
     """Per bucket: the last reset and last values of all earlier buckets of the same key."""
-    # The aggregation sorts, so it only sees rows that hold something (few line rows do);
-    # buckets without any such row still inherit, and are listed by a plain distinct.
-    holding = F.col(_RESET).isNotNull()
-    for c in columns:
-        holding = holding | F.col(c).isNotNull()
-    latest = bucketed.filter(holding).groupBy(*keys, _BUCKET).agg(
-        F.max(_RESET).alias(_RESET),
-        *[F.max(_at(order_by, c)).alias(_HELD + c) for c in columns],
-    )
-    summary = bucketed.select(*keys, _BUCKET).distinct().join(latest, [*keys, _BUCKET], "left")
+    summary = bucketed.groupBy(*keys, _BUCKET).agg(F.max(_RESET).alias(_RESET))
+    if columns:
+        # Keeping values makes an aggregation sort its input, so it only gets the rows that
+        # have one (few line rows do); the plain aggregation above lists every bucket.
+        valued = F.lit(False)
+        for c in columns:
+            valued = valued | F.col(c).isNotNull()
+        latest = bucketed.filter(valued).groupBy(*keys, _BUCKET).agg(
+            *[F.max(_at(order_by, c)).alias(_HELD + c) for c in columns]
+        )
+        summary = summary.join(latest, [*keys, _BUCKET], "left")
     earlier = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
     held = [_RESET, *[_HELD + c for c in columns]]
     carried = summary.select(*keys, _BUCKET, *[F.max(h).over(earlier).alias(h) for h in held])
@@ -89,11 +90,13 @@ def forward_fill(
     reset: Column | None = None,
     reset_position: str | None = None,
     bucket_rows: int = BUCKET_ROWS,
+    only_above: bool = False,
 ) -> DataFrame:
     """Replace nulls by the last value above them within the same key.
 
     ``reset`` marks rows that start a new group: nothing is filled across them.  With
     ``reset_position`` the position of the last reset at or above each row is added.
+    ``only_above`` gives every row the last value of the rows before it, not its own.
     """
     keys = list(keys)
     order = df.columns
@@ -101,7 +104,8 @@ def forward_fill(
     bucketed = _with_bucket(df, order_by, bucket_rows).withColumn(_RESET, marked.cast("bigint"))
     inherited = _inherited(bucketed, keys, order_by, columns)
 
-    so_far = W.partitionBy(*keys, _BUCKET).orderBy(order_by).rowsBetween(W.unboundedPreceding, 0)
+    last = -1 if only_above else 0
+    so_far = W.partitionBy(*keys, _BUCKET).orderBy(order_by).rowsBetween(W.unboundedPreceding, last)
     scanned = bucketed.select(
         *[c for c in bucketed.columns if c != _RESET],
         F.max(_RESET).over(so_far).alias(_RESET),

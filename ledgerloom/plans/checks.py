@@ -16,7 +16,6 @@ from ledgerloom.operators import cleaning, filters, hierarchy, inventory, metric
 from ledgerloom.plans import landing
 from ledgerloom.schema import PERIOD, POSITION, ROW_NO, SOURCE_FILE, check_contract, resolve_aliases
 from ledgerloom.sources import exports
-from ledgerloom.storage import session_folder
 from ledgerloom.streaming.incremental import land_and_wait
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,7 +139,7 @@ def _period_totals(df: DataFrame) -> DataFrame:
 @query("a10_write_csv")
 def _(spark, sf):
     unsold = inventory.unsold_stock(landing.inventory(spark, sf), landing.sales(spark, sf), UNSOLD_PERIODS)
-    path = f"{session_folder(spark)}/unsold-csv"
+    path = landing.table_folder(spark, sf, "unsold_csv")
     exports.write_csv(unsold, path)
     return spark.read.option("header", True).schema(unsold.schema).csv(path)
 

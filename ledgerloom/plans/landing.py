@@ -46,7 +46,7 @@ def _written(
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with the values its export row is made of."""
+    """Order lines with their order's values, still without the product and customer names."""
     lines = base(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         "cast(l_quantity as decimal(12,0)) as quantity",
@@ -56,19 +56,23 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = base(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", "o_custkey",
-        "date_format(o_orderdate, 'yyyyMM') as ym",
-        "concat(cast(year(o_orderdate) - 1911 as string), date_format(o_orderdate, '.MM.dd')) as roc_date",
+        "cast(o_orderdate as date) as sold_on",
+        "year(o_orderdate) * 100 + month(o_orderdate) as month_no",
         "cast(round(o_totalprice * 100) as bigint) as cents",
     )
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def _named(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Numbered order lines with customer and product names and the name of their export."""
     customers = base(spark, sf_dir, "customer").select("c_custkey", "c_name")
     parts = base(spark, sf_dir, "part").selectExpr(
         "p_partkey", "p_name", "p_type", "cast(p_retailprice as decimal(12,2)) as price"
     )
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        rows.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn(SOURCE_FILE, F.concat(F.lit("sales_"), "ym", F.lit("01_end.csv")))
+        .withColumn(SOURCE_FILE, F.expr("concat('sales_', cast(month_no as string), '01_end.csv')"))
     )
 
 
@@ -80,26 +84,25 @@ _AMOUNT_TEXT = """
 
 def _text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales rows as text, over line positions that are numbered once per application."""
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    order = [F.col(f"l_{c}").asc() for c in ("orderkey", "linenumber", "partkey", "suppkey", "extendedprice")]
     key = table_folder(spark, sf_dir, "numbered")
     if key not in _READY:
-        _READY[key] = number_rows(
-            _order_lines(spark, sf_dir), [F.col(c).asc() for c in order], [SOURCE_FILE], ROW_NO
-        )
+        _READY[key] = number_rows(_order_lines(spark, sf_dir), order, ["month_no"], ROW_NO)
     rows = _READY[key]
     # The header row of an order is its first one; positions are unique, so this join has no hot key.
     headers = (
-        rows.groupBy(SOURCE_FILE, "o_orderkey").agg(F.min(ROW_NO).alias(ROW_NO))
-        .select(SOURCE_FILE, ROW_NO, F.lit(True).alias("is_header"))
+        rows.groupBy("month_no", "o_orderkey").agg(F.min(ROW_NO).alias(ROW_NO))
+        .select("month_no", ROW_NO, F.lit(True).alias("is_header"))
     )
     on_header = {
         "order_no": "concat('SO', cast(o_orderkey as string))",
-        "order_date": "roc_date",
+        "order_date": "concat(cast(year(sold_on) - 1911 as string), date_format(sold_on, '.MM.dd'))",
         "customer_name": "c_name",
         "total_amount": _AMOUNT_TEXT,
         "gross_profit": "cast(cast(cast(cents * (mod(o_orderkey, 40) - 5) as decimal(24,0)) / 10000 as decimal(18,4)) as string)",
     }
-    return rows.join(headers, [SOURCE_FILE, ROW_NO], "left").selectExpr(
+    marked = rows.join(headers, ["month_no", ROW_NO], "left")
+    return _named(spark, sf_dir, marked).selectExpr(
         SOURCE_FILE,
         ROW_NO,
         *[f"case when is_header then {e} end as {c}" for c, e in on_header.items()],

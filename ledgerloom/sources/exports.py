@@ -21,13 +21,18 @@ _BLOCK_BITS = 17
 _ROW_BITS = 30
 
 
+def _unescaped(c: Column) -> Column:
+    """Undo percent escapes; a plus sign is a plus sign."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def _export_name() -> Column:
     """Name of the file, or of the folder for a part file."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    pieces = F.split(path, "/")
-    name = F.when(pieces[F.size(pieces) - 1].startswith("part-"), pieces[F.size(pieces) - 2])
-    name = F.coalesce(name, pieces[F.size(pieces) - 1])
-    return F.regexp_replace(name, f"^{SOURCE_FILE}=", "")
+    pieces = F.split(_unescaped(F.col("_metadata.file_path")), "/")
+    file, folder = F.element_at(pieces, -1), F.element_at(pieces, -2)
+    prefix = f"{SOURCE_FILE}="  # how a table partitioned by export writes its folders
+    named = F.when(folder.startswith(prefix), _unescaped(F.substr(folder, F.lit(len(prefix) + 1))))
+    return F.when(file.startswith("part-"), F.coalesce(named, folder)).otherwise(file)
 
 
 def _smallest_block(spark: SparkSession) -> int:
@@ -108,7 +113,7 @@ def file_catalog(spark: SparkSession, folder: str, suffix: str = ".xlsx", order:
         files = (
             spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
             .select(
-                F.element_at(F.split(F.url_decode("path"), "/"), -1).alias("name"),
+                F.element_at(F.split("path", "/"), -1).alias("name"),
                 "path",
                 F.col("modificationTime").alias("modified"),
             )

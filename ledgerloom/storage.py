@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Largest table, in rows, that this library marks for broadcast.
 BROADCAST_ROWS = 200_000
 
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a fresh temporary one only in local mode."""
@@ -25,9 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="ledgerloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
+    return _LOCAL[context.applicationId]
 
 
 def session_folder(spark: SparkSession) -> str:

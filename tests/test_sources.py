@@ -62,6 +62,18 @@ def test_parquet_export_in_parts(spark, tmp_path):
     assert rows.select("source_file", "period").distinct().collect() == [("big_20250201_x.parquet", "2025-02")]
 
 
+def test_export_names_with_special_characters(spark, tmp_path):
+    odd = "銷 a+b%41#_20250101_x.csv"
+    path = tmp_path / "in"
+    path.mkdir()
+    write_export(path / odd, [row(1)])
+    assert exports.read_sales(spark, str(path)).first().source_file == odd
+    table = spark.createDataFrame([(odd, "P1")], "source_file string, `產品代號` string")
+    folder = str(tmp_path / "table")
+    table.write.partitionBy("source_file").option("header", True).csv(folder)
+    assert exports.read_sales(spark, folder).first().source_file == odd
+
+
 def test_other_header_is_refused(spark, tmp_path):
     write_export(tmp_path / "a.csv", [row(1)])
     (tmp_path / "b.csv").write_text(HEADER.replace("銷貨單號,銷貨日期", "銷貨日期,銷貨單號") + ",".join(row(1)) + "\n")
@@ -84,15 +96,15 @@ def test_read_inventory(spark, tmp_path):
 def test_catalog(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()
-    for i, name in enumerate(("b.xlsx", "a.xlsx", "c.txt", "帳 1.xlsx")):
+    for i, name in enumerate(("b.xlsx", "a.xlsx", "c.txt", "帳 1+%41.xlsx")):
         (folder / name).write_text("x")
         os.utime(folder / name, (time.time() - i * 1000,) * 2)
     names = lambda df: [r.name for r in df.collect()]
-    assert names(exports.file_catalog(spark, str(folder))) == ["b.xlsx", "a.xlsx", "帳 1.xlsx"]
-    assert names(exports.file_catalog(spark, str(folder), order="name")) == ["a.xlsx", "b.xlsx", "帳 1.xlsx"]
+    assert names(exports.file_catalog(spark, str(folder))) == ["b.xlsx", "a.xlsx", "帳 1+%41.xlsx"]
+    assert names(exports.file_catalog(spark, str(folder), order="name")) == ["a.xlsx", "b.xlsx", "帳 1+%41.xlsx"]
     assert names(exports.file_catalog(spark, str(tmp_path / "none"))) == []
     active = exports.file_catalog(spark, str(folder)).filter("name = 'a.xlsx'")
-    assert names(exports.overlay_catalog(active, exports.file_catalog(spark, str(folder)))) == ["a.xlsx", "b.xlsx", "帳 1.xlsx"]
+    assert names(exports.overlay_catalog(active, exports.file_catalog(spark, str(folder)))) == ["a.xlsx", "b.xlsx", "帳 1+%41.xlsx"]
     rows = spark.createDataFrame([("a.xlsx", 1), ("b.xlsx", 2)], "source_file string, v int")
     assert [r.v for r in exports.latest_export(rows, exports.file_catalog(spark, str(folder))).collect()] == [2]
 
