@@ -44,8 +44,11 @@ def fill_by_order_id(
     from header to header is all there is to do.
     """
     columns = present(df, ORDER_COLUMNS) if columns is None else list(columns)
+    valued = F.lit(False)
+    for c in columns:
+        valued = valued | F.col(c).isNotNull()
     runs = forward_fill(
-        df.withColumn("_order", F.col("order_no")), [*columns, "_order"],
+        df.withColumns({"_order": F.col("order_no"), "_valued": valued}), [*columns, "_order"],
         reset=F.col("order_no").isNotNull(), reset_position="_head", bucket_rows=bucket_rows,
     )
     repeated = repeated_orders(df)
@@ -67,14 +70,16 @@ def _earlier_runs(
 ) -> DataFrame:
     """What each run of a repeated order inherits from that order's runs above it.
 
-    A run is a header with the rows up to the next header.  Its last values stand on its
-    last rows, already filled.  The small table of runs is written once, as three steps
-    of the next fill read it.
+    A run is a header with the rows up to the next header.  Its last row that brings a
+    value of its own carries, already filled, all last values of the run.  The small table
+    of runs is written once, as three steps of the next fill read it.
     """
     keys = [SOURCE_FILE, "_order"]
     wanted = repeated.select(SOURCE_FILE, F.col("order_no").alias("_order"))
-    ends = runs.join(wanted, keys, "left_semi").groupBy(*keys, "_head").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ROW_NO))).alias(c) for c in columns]
+    last = F.max(F.struct(ROW_NO, *columns)).alias("_last")
+    ends = (
+        runs.filter("_valued").join(wanted, keys, "left_semi").groupBy(*keys, "_head").agg(last)
+        .select(*keys, "_head", *[F.col("_last")[c].alias(c) for c in columns])
     )
     above = forward_fill(
         materialize(ends, "runs"), columns, keys=keys, order_by="_head",

@@ -117,17 +117,15 @@ def exact_quantiles(
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of the numeric columns."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    long = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], columns, "column", "value")
-    )
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    # One pass over the table; its single row is then turned into one row per column.
+    wide = numbers.agg(*[f(c).alias(f"{m}_{c}") for c in columns for m, f in measures.items()])
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"`{m}_{c}`").alias(m) for m in measures])
+        for c in columns
+    ]
+    moments = wide.select(F.inline(F.array(*rows)))
     quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
     return moments.join(quartiles, "column", "left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
