@@ -24,8 +24,11 @@ RANKING_HEADINGS = {
     "vendor_short": "廠商簡稱",
     "stock": "庫存",
     "total_quantity": "總數量",
+    "sales_quantity": "銷售數量",
     "total_amount": "總金額(元)",
+    "sales_amount": "銷售金額(元)",
 }
+MONTH_HEADINGS = {"quantity": "數量", "amount": "金額(元)"}
 # --- end of fixed values --------------------------------------------------------------
 
 
@@ -49,13 +52,13 @@ def format_report(
     symbol: str = "",
 ) -> DataFrame:
     """Text columns for display, renamed and ordered by ``headings`` when given."""
-    text = {c: money_text(F.col(c), symbol) for c in money if c in df.columns}
+    text = {c: money_text(F.col(f"`{c}`"), symbol) for c in money if c in df.columns}
     text |= {c: percent_text(F.col(c), signed=True) for c in growth if c in df.columns}
     text |= {c: percent_text(F.col(c)) for c in percent if c in df.columns}
     shown = df.withColumns(text) if text else df
     if headings is None:
         return shown
-    return shown.select(*[F.col(c).alias(h) for c, h in headings.items() if c in shown.columns])
+    return shown.select(*[F.col(f"`{c}`").alias(h) for c, h in headings.items() if c in shown.columns])
 
 
 def format_comparison(monthly: DataFrame) -> DataFrame:
@@ -68,3 +71,12 @@ def format_comparison(monthly: DataFrame) -> DataFrame:
         headings=COMPARISON_HEADINGS,
         symbol="$",
     )
+
+
+def format_ranking(ranked: DataFrame, months: Sequence[str] = ()) -> DataFrame:
+    """A product ranking as it is shown: months ascending, quantity before amount."""
+    headings = dict(RANKING_HEADINGS)
+    for m in sorted(months):
+        headings |= {f"{m}_{what}": f"{m}_{shown}" for what, shown in MONTH_HEADINGS.items()}
+    amounts = [c for c in headings if c.endswith("_amount")]
+    return format_report(ranked, money=amounts, headings=headings)

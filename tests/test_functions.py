@@ -90,3 +90,12 @@ def test_report_text(spark):
     named = reports.format_report(row, money=("m",), headings={"p": "P", "missing": "X", "m": "M"})
     assert named.columns == ["P", "M"]
     assert named.first()["M"] == "1,234.50"
+
+
+def test_ranking_text(spark):
+    row = spark.createDataFrame(
+        [(1, "A", 2, 1234.5, 3, 6.0)], "rank int, product_code string, stock int, total_amount double, `2025-01_quantity` int, `2025-01_amount` double"
+    )
+    shown = reports.format_ranking(row, ["2025-01"])
+    assert shown.columns == ["排名", "產品代號", "庫存", "總金額(元)", "2025-01_數量", "2025-01_金額(元)"]
+    assert tuple(shown.first()) == (1, "A", 2, "1,234.50", 3, "6.00")

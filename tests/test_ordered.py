@@ -82,6 +82,18 @@ def test_fill_by_order_without_repeats(spark):
     assert {(r.source_file, r.row_no): (r.order_no, r.customer_name, r.total_amount) for r in got} == model_fill(unique, True)
 
 
+@pytest.mark.parametrize("by_order", [False, True])
+def test_fill_with_one_order_holding_most_rows(spark, by_order):
+    rows = random_rows(4, files=2, size=60)
+    start = max(r[1] for r in rows) + 1
+    rows += [("f0", start, "HOT", "first", 7, "p"), ("f0", start + 2500, "HOT", None, None, "p")]
+    rows += [("f0", start + i, None, "own" if i == 900 else None, None, "p") for i in range(1, 2500)]
+    rows += [("f0", start + 2500 + i, None, None, None, "p") for i in range(1, 500)]
+    fill = hierarchy.fill_by_order_id if by_order else hierarchy.fill_order_info
+    got = fill(frame(spark, rows), bucket_rows=100).collect()
+    assert {(r.source_file, r.row_no): (r.order_no, r.customer_name, r.total_amount) for r in got} == model_fill(rows, by_order)
+
+
 def test_fill_without_order_number(spark):
     df = spark.createDataFrame(
         [("f", 1, None), ("f", 2, "a"), ("f", 3, None), ("g", 1, None)],

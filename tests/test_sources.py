@@ -181,6 +181,22 @@ def test_repeated_batch_lands_once(spark, tmp_path):
     assert spark.read.parquet(target).count() == 4
 
 
+def test_shared_folder(spark):
+    from types import SimpleNamespace as Fake
+
+    from ledgerloom.storage import broadcast_if_small, shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    bare = Fake(get=lambda key, default: default)
+    local = Fake(conf=bare, sparkContext=Fake(master="local[2]", applicationId="app"))
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(RuntimeError):
+        shared_folder(Fake(conf=bare, sparkContext=Fake(master="yarn", applicationId="app")))
+    df = spark.range(10)
+    assert broadcast_if_small(df, 9) is df
+    assert broadcast_if_small(df, 10) is not df
+
+
 def test_period_fallback_fills_only_missing_months(spark):
     df = spark.createDataFrame([("a_20250301_b", None), ("a_20250301_b", "2024-01")], "source_file string, ym string")
     assert sorted(r.ym for r in cleaning.apply_period_fallback(df).collect()) == ["2024-01", "2025-03"]
