@@ -1,7 +1,9 @@
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracle import compare, connect
+from ledgerloom.plans.checks import QUERIES
+from ledgerloom.plans.oracle import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,11 +14,11 @@ def db():
 
 
 def test_every_query_but_these_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"a11_preview", "e25_sample_values"}
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == {"a11_preview", "e25_sample_values"}
+    assert set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, db, name):
     assert not compare(spark, db, name, FOLDER).startswith("FAIL")
 
