@@ -30,11 +30,12 @@ from ledgerloom.llm.boosting import Boosted, fit_boosted, fit_isotonic, sigmoid
 from ledgerloom.llm.textnum import blocks, ready_for_python, need_columns, text_bytes
 from ledgerloom.storage import materialize
 
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
 THRESHOLD = 0.7
 FOLDS = 3
 CANDIDATES = 4000
 LEAST_LOG_ODDS = 2.5
+COVER = 4  # terms wanted for every toxic text of the sample
 PREFIXES = (3, 4, 5, 6, 7)
 WHOLE = " "  # ends a term that stands for a whole word
 
@@ -194,9 +195,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, int]:
 def _terms(text: Column) -> Column:
     """Distinct whole words and word beginnings of a text."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1))
-    beginnings = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.left(w, F.lit(n))) for n in PREFIXES]
+
+    def beginnings(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.left(w, F.lit(n)))
+
     whole = F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.concat(w, F.lit(WHOLE)))
-    return F.array_distinct(reduce(lambda a, b: F.concat(a, b), [whole, *beginnings]))
+    return F.array_distinct(reduce(lambda a, b: F.concat(a, b), [whole, *map(beginnings, PREFIXES)]))
 
 
 def _log_odds(p, n, pos: int, neg: int) -> np.ndarray:
@@ -204,18 +208,24 @@ def _log_odds(p, n, pos: int, neg: int) -> np.ndarray:
     return np.log((p + 0.5) / (pos + 1.0)) - np.log((n + 0.5) / (neg + 1.0))
 
 
-def _cover(present: np.ndarray, weight: np.ndarray, least: int) -> np.ndarray:
-    """Greedy cover of the rows of ``present`` by columns; ties go to the heavier column."""
-    open_rows = np.ones(len(present), bool)
+def _cover(present: np.ndarray, terms: list[str], weight: np.ndarray, least: int) -> np.ndarray:
+    """Greedy cover of the rows of ``present`` by terms, COVER times over, by gain times weight; ties go to the longer.
+
+    Of a word and its beginnings one is taken: a chosen term rules out those that begin it or that it begins.
+    """
+    missing = np.full(len(present), COVER)
+    free = weight >= LEAST_LOG_ODDS
+    size = np.array([len(t) for t in terms])
     chosen = []
-    while True:
-        gain = present[open_rows].sum(0).astype(float)
-        gain[weight < LEAST_LOG_ODDS] = 0
-        best = int(np.lexsort((-np.arange(len(gain)), weight, gain))[-1]) if len(gain) else -1
-        if best < 0 or gain[best] < least:
-            return np.array(chosen, np.int64)
+    while free.any():
+        gain = np.where(free, present[missing > 0].sum(0), 0)
+        best = int(np.lexsort((-np.arange(len(gain)), size, gain * weight))[-1])
+        if gain[best] < least:
+            break
         chosen.append(best)
-        open_rows &= ~present[:, best]
+        free &= np.array([not (t.startswith(terms[best]) or terms[best].startswith(t)) for t in terms])
+        missing -= present[:, best]
+    return np.array(chosen, np.int64)
 
 
 def _lexicons(sample: DataFrame) -> list[Lexicon]:
@@ -251,7 +261,7 @@ def _lexicons(sample: DataFrame) -> list[Lexicon]:
         use = np.arange(FOLDS) != left_out
         weight = _log_odds(in_p[:, use].sum(1), in_n[:, use].sum(1), pos[use].sum(), neg[use].sum())
         rows = present[fold != left_out]
-        chosen = _cover(rows, weight, max(2, len(rows) // 500))
+        chosen = _cover(rows, terms, weight, max(2, len(rows) // 500))
         out.append(Lexicon({terms[i]: float(weight[i]) for i in chosen}))
     return out
 
