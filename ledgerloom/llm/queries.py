@@ -72,5 +72,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_rules, op8_license_scan, op9_near_dedup, op10_fingerprints,
     )
 }
-
-ORACLE: dict[str, str] = {}
