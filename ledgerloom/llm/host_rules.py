@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.textnum import need_columns
-from ledgerloom.storage import materialize
+from ledgerloom.storage import broadcast_if_small, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -110,7 +110,11 @@ def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Data
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # The measures are the whole cost: written once, then read for the hosts and for the documents.
     measured = materialize(base_measures(docs).withColumn("base_failed", failed), "measures")
-    verdicts = host_rates(measured).select(F.col("source").alias("_host"), F.col("rate").alias("host_rate"))
+    verdicts = materialize(
+        host_rates(measured).select(F.col("source").alias("_host"), F.col("rate").alias("host_rate")), "hosts"
+    )
+    # Up to a counted bound the verdicts go to the documents; beyond it, adaptive execution splits a hot host.
+    verdicts = broadcast_if_small(verdicts)
     joined = measured.join(verdicts, F.col("source") == F.col("_host"), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",
