@@ -7,13 +7,14 @@ when it is high.  Two documents are linked when the full shingle sets have ``100
 How links are found without emitting the pairs of a group:
 
 1. Texts with the same shingle set are one class, represented by its smallest ``doc_id``.
-2. In each bucket every class meets only the bucket's smallest class; each class keeps the partner it meets in most
-   buckets.  Sketch, then full sets, confirm; confirmed links join into first groups.
-3. In buckets that still hold several groups, the classes outside the bucket's largest group meet all classes of other
-   groups there.  Sketch, then full sets, confirm.  Nothing is capped: a group that is already joined costs nothing.
+2. In each bucket every class outside the bucket's largest group meets one member of that group, and keeps the partner
+   whose sketch is most alike.  Full sets confirm; confirmed links join into groups.  This is done ROUNDS times.
+3. In buckets that still hold several groups, the classes outside the largest group meet all classes of other groups
+   there, each pair once.  Sketch, then full sets, confirm.  Nothing is capped: a group that is already joined costs
+   nothing.
 
 Recall: two sets of similarity 0.75 share no bucket with probability (1 - 0.75**4)**32 = 5e-6, less above.  The sketch
-test leaves a margin of five standard errors.  Shingles are compared as 64-bit hashes.
+test leaves a margin of four standard errors (a link of exactly 0.75 passes with probability 0.99997, others more).  Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.textnum import blocks, ready_for_python, mix, need_columns, row_starts, shingles, word_hashes
 from ledgerloom.storage import materialize
 
-BANDS, ROWS = 32, 4
-K = BANDS * ROWS
-BITS = 256
+BANDS, ROWS = 32, 4  # of the first BANDS * ROWS samples
+K, BITS = 512, 1024  # samples in an odd sketch, and its bits
+ROUNDS = 2
 SIMILARITY = 75  # hundredths
 SHINGLE = 5
 
@@ -132,7 +133,7 @@ def estimate(a: Column, b: Column) -> Column:
     return F.when(inside <= 0, 0.0).otherwise(F.lit(1.0) + F.log(inside) * F.lit(BITS / (4.0 * K)))
 
 
-def sketch_margin(similarity: float, errors: float = 5.0) -> float:
+def sketch_margin(similarity: float, errors: float = 4.0) -> float:
     """How far below ``similarity`` an estimate may fall: standard errors of the samples and of the bitmap."""
     samples = similarity * (1 - similarity) / K
     x = 4 * K * (1 - similarity) / BITS
@@ -152,6 +153,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return joined.filter(F.col("_both") * 100 >= union * similarity).select("u", "v").distinct()
 
 
+def _main_groups(grouped: DataFrame, turn: int) -> DataFrame:
+    """Per bucket (key) with several groups: its largest group and one member of it, another one each turn."""
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
+    by_group = grouped.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_n"), F.min(drawn).alias("_head"))
+    best = F.max(F.struct("_n", "comp", "_head"))
+    return (
+        by_group.groupBy("key").agg(best.alias("_m"), F.count(F.lit(1)).alias("_groups")).filter("_groups > 1")
+        .select("key", F.col("_m.comp").alias("main"), F.col("_m._head.node").alias("head"))
+    )
+
+
+def _likeliest(grouped: DataFrame, sketches: DataFrame, floor: float, turn: int) -> DataFrame:
+    """For each class outside a bucket's largest group the likeliest of the members it meets: pairs (u, v)."""
+    met = grouped.join(_main_groups(grouped, turn), "key").filter("comp <> main")
+    pairs = met.select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    rated = (
+        pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("_a")), "u")
+        .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("_b")), "v")
+        .select("u", "v", estimate(F.col("_a"), F.col("_b")).alias("_e")).filter(F.col("_e") >= floor)
+    )
+    return rated.groupBy("u").agg(F.max(F.struct("_e", "v")).alias("_best")).select("u", F.col("_best.v").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): n_shingles, component_id, kept.
 
@@ -178,60 +202,46 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         "representatives",
     )
     keyed = reps.select("node", F.explode("bands").alias("key"))
-    heads = materialize(
-        keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("_last"))
-        .filter("head < _last").select("key", "head"),
-        "buckets",
-    )
-    met = materialize(keyed.join(heads, "key"), "met")
-    # 2. The partner met in most buckets.
-    partner = (
-        met.filter("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("node").agg(F.max(F.struct("_n", (-F.col("head")).alias("_h"))).alias("_best"))
-        .select(F.col("node").alias("u"), (-F.col("_best._h")).alias("v"))
-    )
-    floor = similarity / 100.0 - sketch_margin(similarity / 100.0)
-    sketches = reps.select("node", "sketch")
-    likely = (
-        partner.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("_a")), "u")
-        .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("_b")), "v")
-        .filter(estimate(F.col("_a"), F.col("_b")) >= floor).select("u", "v").distinct()
-    )
-    in_buckets = met.select("node").distinct()
+    shared = keyed.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key")
+    met = materialize(keyed.join(shared, "key"), "met")
     sets = materialize(
-        docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(in_buckets, "node", "left_semi")
+        docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
+        .join(met.select("node").distinct(), "node", "left_semi")
         .select("node", shingle_set(F.col("text")).alias("set")).filter(F.size("set") > 0),
         "sets",
     )
-    links = materialize(_confirmed(likely, sets, similarity), "links")
+    floor = similarity / 100.0 - sketch_margin(similarity / 100.0)
+    sketches = reps.select("node", "sketch")
+    # 2. Rounds in which a class meets one member of each bucket's largest group and keeps the likeliest.
+    links = None
+    grouped = met.withColumn("comp", F.col("node"))
+    for turn in range(ROUNDS):
+        found = materialize(_confirmed(_likeliest(grouped, sketches, floor, turn), sets, similarity), "links")
+        links = found if links is None else links.unionByName(found)
+        first = connected_components(links)
+        grouped = materialize(
+            met.join(first, met["node"] == first["node"], "left")
+            .select("key", met["node"], F.coalesce("component", met["node"]).alias("comp")),
+            "grouped",
+        )
     # 3. Buckets that still hold several groups.
-    first = connected_components(links)
-    grouped = materialize(
-        met.select("key", "node").join(first, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("comp")),
-        "grouped",
+    open_ = materialize(
+        grouped.join(_main_groups(grouped, ROUNDS), "key").join(reps, "node").distinct(), "open"
     )
-    main = (
-        grouped.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.count(F.lit(1)).alias("_groups"))
-        .filter("_groups > 1").select("key", "main")
-    )
-    open_ = materialize(grouped.join(main, "key").join(sketches, "node").distinct(), "open")
     left = open_.filter("comp <> main").select(
-        "key", F.col("node").alias("u"), F.col("comp").alias("_cu"), F.col("sketch").alias("_a")
+        "key", F.col("node").alias("u"), F.col("comp").alias("_cu"), F.col("sketch").alias("_a"), F.col("bands").alias("_ba")
     )
     right = open_.select(
-        "key", F.col("node").alias("v"), F.col("comp").alias("_cv"), F.col("sketch").alias("_b"),
-        (F.col("comp") == F.col("main")).alias("_main"),
-    )
-    across = (
-        left.join(
-            right,
-            (left["key"] == right["key"]) & (F.col("_cu") != F.col("_cv"))
-            & (F.col("_main") | (F.col("u") < F.col("v")))
-            & (estimate(F.col("_a"), F.col("_b")) >= floor),
-        ).select("u", "v").distinct()
+        F.col("key").alias("_key"), F.col("node").alias("v"), F.col("comp").alias("_cv"), F.col("sketch").alias("_b"),
+        F.col("bands").alias("_bb"), (F.col("comp") == F.col("main")).alias("_main"),
     )
+    same = F.filter(F.zip_with("_ba", "_bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    across = left.join(
+        right,
+        (F.col("key") == F.col("_key")) & (F.col("_cu") != F.col("_cv")) & (F.col("_main") | (F.col("u") < F.col("v")))
+        & (estimate(F.col("_a"), F.col("_b")) >= floor)
+        & (F.get(same, F.lit(0)) == F.col("key")),  # a pair comes out of the first bucket it shares only
+    ).select("u", "v").distinct()
     more = _confirmed(across, sets, similarity)
     # A doc_id with several texts ties their classes together.
     members = signed.filter("n > 0").join(node, ["a", "b"])
