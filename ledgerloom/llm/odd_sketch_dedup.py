@@ -33,7 +33,7 @@ from ledgerloom.llm.textnum import blocks, ready_for_python, mix, need_columns,
 from ledgerloom.storage import materialize
 
 BANDS, ROWS = 32, 4  # of the first BANDS * ROWS samples
-K, BITS = 512, 1024  # samples in an odd sketch, and its bits
+K, BITS = 1024, 2048  # samples in an odd sketch, and its bits
 ROUNDS = 2
 SIMILARITY = 75  # hundredths
 SHINGLE = 5
