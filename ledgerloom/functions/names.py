@@ -22,11 +22,11 @@ def period_from_filename(c: Column) -> Column:
 
 
 def snapshot_date_from_filename(c: Column, modified: Column | None = None) -> Column:
-    """``BC_x_20250331.xlsx`` -> ``2025/03/31``; otherwise the file's own time."""
-    last = F.regexp_replace(F.element_at(F.split(c, "_"), -1), r"\.xlsx", "")
+    """``BC_x_20250331.csv`` -> ``2025/03/31``; without eight digits there, the file's own time."""
+    last = F.regexp_replace(F.element_at(F.split(c, "_"), -1), r"\.[^.]*$", "")
     dated = F.concat_ws("/", F.substring(last, 1, 4), F.substring(last, 5, 2), F.substring(last, 7, 2))
     fallback = F.lit(None).cast("string") if modified is None else F.date_format(modified, "yyyy/MM/dd")
-    return F.when(F.length(last) >= 8, dated).otherwise(fallback)
+    return F.when(last.rlike(r"^\d{8}"), dated).otherwise(fallback)
 
 
 def period_fallback(c: Column) -> Column:

@@ -94,8 +94,7 @@ def _(spark, sf):
 @query("a6_snapshot_date_from_filename")
 def _(spark, sf):
     files = landing.inventory_text(spark, sf).groupBy(SOURCE_FILE).agg(F.count(F.lit(1)).alias("n"))
-    stem = F.replace(F.col(SOURCE_FILE), F.lit(".csv"), F.lit(".xlsx"))
-    return files.withColumn("snapshot_date", names.snapshot_date_from_filename(stem))
+    return files.withColumn("snapshot_date", names.snapshot_date_from_filename(F.col(SOURCE_FILE)))
 
 
 @query("a7_period_fallback")
@@ -315,8 +314,7 @@ def _(spark, sf):
 
 @query("b16_flag_unsold")
 def _(spark, sf):
-    lines = landing.sales(spark, sf).filter(F.col(PERIOD).isin(*UNSOLD_PERIODS))
-    return products.flag_unsold(inventory.sku_sales(landing.inventory(spark, sf), lines))
+    return products.flag_unsold(inventory.sku_sales(landing.inventory(spark, sf), landing.sales(spark, sf)))
 
 
 @query("b17_quality_stats")
@@ -383,9 +381,8 @@ def _(spark, sf):
 
 @query("c6_assign_parent")
 def _(spark, sf):
-    return hierarchy.assign_parent(gapped_sales(spark, sf)).filter("parent_row_no is not null").select(
-        *POSITION, "parent_row_no"
-    )
+    parent = F.coalesce("parent_row_no", F.lit(-1)).alias("parent_row_no")
+    return hierarchy.assign_parent(gapped_sales(spark, sf)).select(*POSITION, parent)
 
 
 @query("c6_parent_coverage")
@@ -584,8 +581,7 @@ def _(spark, sf):
 @query("e23_coverage_counts")
 def _(spark, sf):
     lines = landing.sales(spark, sf).filter(F.col("product_code").isNotNull())
-    month = lines.filter(F.col(PERIOD).isin(*UNSOLD_PERIODS))
-    skus = inventory.sku_sales(landing.inventory(spark, sf), month)
+    skus = inventory.sku_sales(landing.inventory(spark, sf), lines)
     return metrics.coverage_counts(_orders(spark, sf), lines, skus)
 
 
@@ -618,33 +614,32 @@ def _(spark, sf):
 # --- joins --------------------------------------------------------------------------------
 
 
-def _month_summary(spark: SparkSession, sf: str) -> DataFrame:
-    month = landing.sales(spark, sf).filter(F.col(PERIOD).isin(*UNSOLD_PERIODS))
-    return products.product_summary(month, ordered=False)
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    return products.product_summary(landing.sales(spark, sf), ordered=False)
 
 
 @query("f1_add_stock")
 def _(spark, sf):
-    return inventory.add_stock(_month_summary(spark, sf), landing.inventory(spark, sf))
+    return inventory.add_stock(_summary(spark, sf), landing.inventory(spark, sf))
 
 
 @query("f2_compare_stock")
 def _(spark, sf):
-    return inventory.compare_stock(_month_summary(spark, sf), landing.inventory(spark, sf)).select(
+    return inventory.compare_stock(_summary(spark, sf), landing.inventory(spark, sf)).select(
         "product_code", "quantity", "stock", "stock_diff"
     )
 
 
 @query("f2_compare_stock_expand")
 def _(spark, sf):
-    compared = inventory.compare_stock(_month_summary(spark, sf), landing.inventory(spark, sf), "expand")
+    compared = inventory.compare_stock(_summary(spark, sf), landing.inventory(spark, sf), "expand")
     return compared.select("product_code", "quantity", "stock", "stock_diff")
 
 
 @query("f2_compare_totals")
 def _(spark, sf):
     return inventory.compare_totals(
-        inventory.compare_stock(_month_summary(spark, sf), landing.inventory(spark, sf))
+        inventory.compare_stock(_summary(spark, sf), landing.inventory(spark, sf))
     )
 
 
@@ -666,7 +661,7 @@ def _(spark, sf):
 
 @query("f5_inventory_with_sales")
 def _(spark, sf):
-    table = inventory.inventory_with_sales(landing.inventory(spark, sf), _month_summary(spark, sf))
+    table = inventory.inventory_with_sales(landing.inventory(spark, sf), _summary(spark, sf))
     return table.select(ROW_NO, "product_code", "on_hand", "sales_quantity", "sales_unit_price", "sales_subtotal")
 
 

@@ -81,10 +81,10 @@ gapped_runs AS (
     LAST_VALUE(order_no IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY row_no) AS carried
   FROM gapped),
 month_lines AS (SELECT * FROM sales WHERE period IN ({unsold})),
-month_summary AS (
+summary AS (
   SELECT product_code, SUM(quantity) AS quantity, SUM(subtotal) AS subtotal,
     CASE WHEN SUM(quantity) > 0 THEN CAST(SUM(subtotal) AS DOUBLE) / CAST(SUM(quantity) AS DOUBLE) ELSE 0 END AS unit_price_by_qty
-  FROM month_lines GROUP BY product_code),
+  FROM sales GROUP BY product_code),
 monthly AS (
   SELECT ym, SUM(total_amount) AS total_amount, SUM(gross_profit) AS gross_profit,
     CAST(SUM(gross_profit) AS DOUBLE) / CAST(SUM(total_amount) AS DOUBLE) * 100.0 AS margin_pct
@@ -212,7 +212,7 @@ FROM monthly""",
     "b16_flag_unsold": """
 WITH s AS (
   SELECT t.*, COALESCE(m.quantity, 0) AS q, COALESCE(m.subtotal, 0) AS a
-  FROM stock t LEFT JOIN month_summary m USING (product_code))
+  FROM stock t LEFT JOIN summary m USING (product_code))
 SELECT product_code, CASE WHEN q = 0 AND stock > 0 THEN product_name || ' ⚠️ 未銷售' ELSE product_name END AS product_name,
   stock, COALESCE(vendor_short, 'N/A') AS vendor_short, q AS sales_quantity, a AS sales_amount,
   q = 0 AND stock > 0 AS is_unsold FROM s""",
@@ -253,10 +253,8 @@ SELECT COUNT(*) AS rows, COUNT(order_no) AS order_rows, COUNT(DISTINCT order_no)
 FROM filled""",
     "c5_dedup_orders": f"SELECT {_POSITION}, order_no, total_amount FROM gapped_once",
     "c6_assign_parent": f"""
-SELECT * FROM (
-  SELECT {_POSITION}, MAX(CASE WHEN order_no IS NOT NULL THEN row_no END)
-    OVER (PARTITION BY source_file ORDER BY row_no) AS parent_row_no FROM gapped)
-WHERE parent_row_no IS NOT NULL""",
+SELECT {_POSITION}, COALESCE(MAX(CASE WHEN order_no IS NOT NULL THEN row_no END)
+  OVER (PARTITION BY source_file ORDER BY row_no), -1) AS parent_row_no FROM gapped""",
     "c6_parent_coverage": """
 SELECT COUNT(*) FILTER (WHERE order_no IS NULL AND run > 0) AS assigned_lines,
   COUNT(*) FILTER (WHERE order_no IS NULL AND run = 0) AS orphan_lines FROM gapped_runs""",
@@ -368,7 +366,7 @@ SELECT (SELECT COUNT(*) FROM orders_once) AS orders, (SELECT COUNT(DISTINCT ym)
   COUNT(*) FILTER (WHERE quantity > 0) AS skus_with_sales,
   COUNT(*) FILTER (WHERE COALESCE(quantity, 0) = 0) AS skus_without_sales,
   COUNT(*) FILTER (WHERE COALESCE(quantity, 0) = 0 AND stock > 0) AS unsold_with_stock
-FROM stock LEFT JOIN month_summary USING (product_code)""",
+FROM stock LEFT JOIN summary USING (product_code)""",
     "e24_largest_orders": """
 SELECT order_no, total_amount FROM orders_once ORDER BY total_amount DESC, order_no LIMIT 5""",
     "e24_order_total": "SELECT SUM(total_amount) AS total_amount FROM orders_once",
@@ -380,19 +378,19 @@ SELECT COUNT(*) AS rows_before, SUM(total_amount) AS total_before, (SELECT COUNT
 }
 
 _JOINS = {
-    "f1_add_stock": _SUMMARY.replace("FROM sales", "FROM month_lines").format(more="").replace(
-        "SELECT product_code,", "SELECT product_code, (SELECT COALESCE(MAX(stock), 0) FROM stock s WHERE s.product_code = month_lines.product_code) AS stock,", 1
+    "f1_add_stock": _SUMMARY.format(more="").replace(
+        "SELECT product_code,", "SELECT product_code, (SELECT COALESCE(MAX(stock), 0) FROM stock s WHERE s.product_code = sales.product_code) AS stock,", 1
     ),
     "f2_compare_stock": """
 SELECT product_code, quantity, COALESCE(stock, 0) AS stock, COALESCE(stock, 0) - quantity AS stock_diff
-FROM month_summary LEFT JOIN stock USING (product_code)""",
+FROM summary LEFT JOIN stock USING (product_code)""",
     "f2_compare_stock_expand": """
 SELECT m.product_code, quantity, COALESCE(on_hand, 0) AS stock, COALESCE(on_hand, 0) - quantity AS stock_diff
-FROM month_summary m LEFT JOIN inv i ON m.product_code = i.product_code""",
+FROM summary m LEFT JOIN inv i ON m.product_code = i.product_code""",
     "f2_compare_totals": """
 SELECT COUNT(*) AS products, COUNT(*) FILTER (WHERE s > 0) AS matched, COUNT(*) FILTER (WHERE s > 0 AND s >= quantity) AS enough,
   COUNT(*) FILTER (WHERE s > 0 AND s < quantity) AS short, COUNT(*) FILTER (WHERE s <= 0) AS unmatched
-FROM (SELECT quantity, COALESCE(stock, 0) AS s FROM month_summary LEFT JOIN stock USING (product_code))""",
+FROM (SELECT quantity, COALESCE(stock, 0) AS s FROM summary LEFT JOIN stock USING (product_code))""",
     "f3_add_vendor": """
 SELECT s.product_code, s.subtotal, COALESCE(stock, 0) AS stock, COALESCE(vendor_short, 'N/A') AS vendor_short
 FROM (SELECT product_code, SUM(subtotal) AS subtotal FROM sales GROUP BY product_code) s
@@ -407,7 +405,7 @@ SELECT COUNT(*) AS skus, COUNT(*) FILTER (WHERE u) AS unsold_skus,
     "f5_inventory_with_sales": """
 SELECT row_no, i.product_code, on_hand, COALESCE(quantity, 0) AS sales_quantity,
   COALESCE(unit_price_by_qty, 0) AS sales_unit_price, COALESCE(subtotal, 0) AS sales_subtotal
-FROM inv i LEFT JOIN month_summary m ON i.product_code = m.product_code""",
+FROM inv i LEFT JOIN summary m ON i.product_code = m.product_code""",
     "f6_inventory_with_period_sales": f"""
 WITH t AS (SELECT product_code, {_period_sums('period')} FROM sales GROUP BY product_code)
 SELECT row_no, i.product_code, {_period_names('COALESCE({}, 0)')}

@@ -16,9 +16,10 @@ from ledgerloom.functions.names import period_from_filename
 from ledgerloom.operators.cleaning import clean_inventory, clean_sales
 from ledgerloom.schema import PERIOD, ROW_NO, SOURCE_FILE, empty_table, standardize
 
-# Bits of a row number: part file | block of the file | row within the reading task.
-_BLOCK_BITS = 17
-_ROW_BITS = 30
+# Bits of a row number: part file | piece of a part file (.c000, .c001, ...) | place in the file.
+_PART_BITS = 20
+_PIECE_BITS = 9
+_PLACE_BITS = 34
 
 
 def _unescaped(c: Column) -> Column:
@@ -35,36 +36,30 @@ def _export_name() -> Column:
     return F.when(file.startswith("part-"), F.coalesce(named, folder)).otherwise(file)
 
 
-def _smallest_block(spark: SparkSession) -> int:
-    """No two blocks of one file that Spark reads separately start closer than this."""
-    sizes = [spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")]
-    return max(1, min(_bytes(s) for s in sizes))
-
-
-def _bytes(text: str) -> int:
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    digits = text.strip().lower().removesuffix("b")
-    return int(digits[:-1]) << units[digits[-1]] if digits[-1] in units else int(digits)
+def _number_in_name(pattern: str, bits: int) -> Column:
+    """A number of the file name, 0 where there is none; an error where it needs more bits."""
+    digits = F.regexp_extract("_metadata.file_name", pattern, 1)
+    return _checked(F.coalesce(F.nullif(digits, F.lit("")).cast("bigint"), F.lit(0).cast("bigint")), bits)
 
 
 def stamp_position(spark: SparkSession, df: DataFrame, fmt: str) -> DataFrame:
     """Add ``source_file`` and ``row_no`` inside the scan, without any shuffle.
 
     Row numbers increase with the row's place in its file but are not consecutive for
-    CSV: they are put together from the part file, the block of the file a task reads,
-    and the place of the row in that task.  Parquet knows its row index.
+    CSV: they are put together from the part file, its piece and the place in the file.
+    Parquet knows its row index.  In CSV the place is the byte at which the task's block
+    begins plus the number of the row in the task: a row takes a byte or more, and Spark
+    puts nothing before a block that is not its file's last.  A number that does not fit
+    its bits is an error.
     """
-    part = F.coalesce(
-        F.nullif(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), F.lit("")).cast("bigint"),
-        F.lit(0),
-    )
     if fmt == "parquet":
         inside = F.col("_metadata.row_index")
     else:
-        block = F.floor(F.col("_metadata.file_block_start") / F.lit(_smallest_block(spark))).cast("bigint")
         row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        inside = F.shiftleft(_checked(block, _BLOCK_BITS), _ROW_BITS) + _checked(row, _ROW_BITS)
-    row_no = F.shiftleft(part, _BLOCK_BITS + _ROW_BITS) + inside
+        inside = F.col("_metadata.file_block_start") + row
+    part = F.shiftleft(_number_in_name(r"^part-(\d+)", _PART_BITS), _PIECE_BITS + _PLACE_BITS)
+    piece = F.shiftleft(_number_in_name(r"^part-.*[.]c(\d+)", _PIECE_BITS), _PLACE_BITS)
+    row_no = part + piece + _checked(inside, _PLACE_BITS)
     return df.select("*", _export_name().alias(SOURCE_FILE), row_no.alias(ROW_NO))
 
 
@@ -170,8 +165,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first rows."""
-    return df.limit(n)
+    """The first rows, in file order where the rows have a position."""
+    position = [c for c in (SOURCE_FILE, ROW_NO) if c in df.columns]
+    return df.orderBy(*position).limit(n) if position else df.limit(n)
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
