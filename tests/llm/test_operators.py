@@ -216,6 +216,16 @@ def test_license_wordings_are_found(docs):
     assert [r["segment"] for r in got] == [1, 0, None, None]
 
 
+def test_license_cover_words_lose_no_match():
+    for threshold in (0.5, 0.75, 1.0):
+        grams = [license_dice.bigrams(t) for _, _, t in license_dice.TEMPLATES]
+        cover = set(license_dice.cover_words(grams, threshold))
+        for g in grams:
+            # The likeliest segment without a covering word holds all other bigrams of the template and nothing else.
+            rest = [p for p in g if not cover & set(p.split())]
+            assert 2 * len(rest) / (len(g) + len(rest)) < threshold
+
+
 def test_a_bad_host_loses_its_good_texts(spark):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, "short", "bad") for i in range(400)] + [(400, good, "bad")] + [(500 + i, good + str(i), "fine") for i in range(400)]
