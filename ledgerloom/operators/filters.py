@@ -34,12 +34,12 @@ def filter_product(df: DataFrame, pattern: str | None, literal: bool = False) ->
 
 
 def filter_in(
-    df: DataFrame, column: str, values: Sequence[str] | None, skip_empty_column: bool = False
+    df: DataFrame, column: str, values: Sequence[str] | None, skip_empty_column: bool = True
 ) -> DataFrame:
     """Rows whose value is chosen; no filter for "all" or when the column is absent.
 
-    ``skip_empty_column`` also leaves a column alone that is null on every row, at the
-    price of one more look at that column.
+    A column that is null on every row filters nothing either, at the price of one more
+    look at that column; without ``skip_empty_column`` it leaves no row.
     """
     if values is None or ALL in values or column not in df.columns:
         return df

@@ -233,8 +233,9 @@ def test_filters(spark, stock):
     assert filters.filter_in(stock, "category_major", ["全部", "x"]).count() == 5
     assert filters.filter_in(stock, "absent", ["x"]).count() == 5
     blank = stock.withColumn("category_major", F.lit(None).cast("string"))
-    assert filters.filter_in(blank, "category_major", ["x"], skip_empty_column=True).count() == 5
-    assert filters.filter_in(stock, "category_major", ["x"], skip_empty_column=True).count() == 2
+    assert filters.filter_in(blank, "category_major", ["x"]).count() == 5
+    assert filters.filter_in(blank, "category_major", ["x"], skip_empty_column=False).count() == 0
+    assert filters.filter_in(stock, "category_major", ["x"], skip_empty_column=False).count() == 2
     counts = [filters.filter_stock(stock, s).count() for s in ("全部", "有庫存", "庫存不足", "無庫存")]
     assert counts == [5, 4, 3, 1]
     assert [r[0] for r in filters.option_values(stock, "vendor_short").collect()] == ["v1", "v2", "v9"]
