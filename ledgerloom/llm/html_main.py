@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,15 +55,25 @@ _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "area", "base", "
 _SELF_CLOSING = frozenset(("p", "li", "dt", "dd", "td", "th", "tr"))
 _AWAY = frozenset(("nav", "footer", "aside", "form", "menu"))
 _AWAY_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"))
+# Names are read as whole class tokens: 'cookie-notice' and 'tag-list' are names, 'tag-politics' and 'no-sidebar' are not.
+_AWAY_WORD = (
+    r"(?:ad|ads|adv|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|nav|navbar|navigation|menu[^\W_]*|breadcrumbs?|crumbs?"
+    r"|sidebar[^\W_]*|side|footer|foot|masthead|topbar|toolbar|cookies?[^\W_]*|consent|gdpr|notices?|notifications?|alerts?"
+    r"|popup|modal|overlay|comments?|commentlist|reply|replies|disqus|respond|related|recommend[^\W_]*|teasers?|share|sharing"
+    r"|social|newsletter|subscribe|subscription|signup|login|widgets?|pagination|pager|tags?|tagcloud|copyright|legal"
+    r"|disclaimer|search[^\W_]*)"
+)
+_PLAIN_WORD = (
+    r"(?:site|page|post|posts|entry|entries|article|articles|story|stories|news|top|bottom|left|right|upper|lower|primary"
+    r"|secondary|global|box|bar|block|list|item|items|link|links|button|buttons|icons?|wrap|wrapper|container|inner|outer"
+    r"|area|section|region|column|col|row|panel|content|body|text|title|form|cloud|unit|slot|media|\d+(?:x\d+)?)"
+)
 _AWAY_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|crumbs?"
-    r"|sidebar\w*|side|footer|foot|masthead|topbar|toolbar|cookies?\w*|consent|gdpr|notices?|notifications?|alerts?|popup|modal"
-    r"|overlay|comments?|commentlist|reply|replies|disqus|respond|related|recommend\w*|teasers?|share|sharing|social"
-    r"|newsletter|subscribe|subscription|signup|login|widgets?|pagination|pager|tags?|tagcloud|copyright|legal"
-    r"|disclaimer|search\w*)(?:$|[\s_-])",
-    re.I,
+    rf"(?<!\S)(?:{_PLAIN_WORD}[-_]+)*{_AWAY_WORD}(?:[-_]+(?:{_AWAY_WORD}|{_PLAIN_WORD}))*(?!\S)", re.I
+)
+_PAGE_HEADER = re.compile(
+    r"(?<!\S)(?:(?:site|page|main|top|global)[-_]*)?header(?:[-_]+(?:wrap|wrapper|container|inner|bar|top|main))?(?!\S)", re.I
 )
-_PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|page-?header|site-?header)(?:$|[\s_-])", re.I)
 _MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post-?(?:body|content)|entry-?content|main-?content|story\w*)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(
@@ -85,6 +96,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
+    named: tuple[int, ...] = ()  # the elements around it whose names speak against it
     text: str = ""
     label: str = ""
 
@@ -95,28 +107,33 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _stands(name: str, attrs: dict[str, str], main: bool) -> tuple[bool, bool]:
-    """Whether an element takes its content away from the main text, or marks it as main text."""
+def _stands(name: str, attrs: dict[str, str], main: bool) -> tuple[bool, bool, bool]:
+    """Whether an element takes its content away from the main text, marks it as main text, or has a name against it."""
+    away = name in _AWAY or (name == "header" and not main)
     if not attrs:
-        return name in _AWAY or (name == "header" and not main), name in ("article", "main")
+        return away, name in ("article", "main") and not away, False
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    away = name in _AWAY or (name == "header" and not main)
+    named = False
     if name not in ("html", "body"):
-        away |= bool(_AWAY_NAMES.search(names)) or attrs.get("role", "").lower() in _AWAY_ROLES
-        away |= not main and bool(_PAGE_HEADER.search(names))
+        named = bool(_AWAY_NAMES.search(names)) or (not main and bool(_PAGE_HEADER.search(names)))
+        away |= attrs.get("role", "").lower() in _AWAY_ROLES
         away |= "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
         away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
     marks = name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or (
         bool(names.strip()) and name in ("div", "section") and bool(_MAIN_NAMES.search(names))
     )
-    return away, marks and not away
+    # A name against an article takes its mark, not its text, which the text rules then judge.
+    return away, marks and not away and not named, named and name not in ("article", "main")
 
 
 def read_blocks(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # element, away, main, skipped
+    open_: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []  # element, away, main, skipped, named
     away = main = skipped = False
+    named: tuple[int, ...] = ()
+    names = 0
+    marks: dict[str, list[tuple[int, ...]]] = {"article": [], "main": []}  # the named elements around each
     links = 0
     block = Block(False, False)
     at = 0
@@ -133,12 +150,12 @@ def read_blocks(page: str) -> list[Block]:
         block.text = " ".join((html.unescape(whole) if "&" in whole else whole).split())
         if block.text:
             out.append(block)
-        block = Block(away, main)
+        block = Block(away, main, named=named)
 
     def close(to: int) -> None:
-        nonlocal away, main, skipped
+        nonlocal away, main, skipped, named
         del open_[to:]
-        away, main, skipped = open_[-1][1:] if open_ else (False, False, False)
+        away, main, skipped, named = open_[-1][1:] if open_ else (False, False, False, ())
 
     while at < len(page):
         tag = _TAG.search(page, at)
@@ -179,20 +196,47 @@ def read_blocks(page: str) -> list[Block]:
             if name in ("body",):
                 close(0)
             attrs = _attributes(tag["attrs"])
-            leaves, marks = _stands(name, attrs, main)
-            away, main, skipped = away or leaves, main or marks, skipped or name in _SKIPPED
+            if name in marks and not away:
+                marks[name].append(named)
+            leaves, marked, against = _stands(name, attrs, main)
+            if against:
+                names += 1
+                named = (*named, names)
+            away, main, skipped = away or leaves, main or marked, skipped or name in _SKIPPED
             if not tag["attrs"].endswith("/") or blocky:
-                open_.append((name, away, main, skipped))
+                open_.append((name, away, main, skipped, named))
             else:
                 close(len(open_))
         if blocky:
-            block.away, block.main, block.heading = away, main, not ends and name in _HEADINGS
-        elif away != block.away and not block.parts:
-            block.away = away
+            block.away, block.main, block.named, block.heading = away, main, named, not ends and name in _HEADINGS
+        elif (away, named) != (block.away, block.named) and not block.parts:
+            block.away, block.named = away, named
     cut()
+    if names:
+        around = marks["main"] + (marks["article"] if len(marks["article"]) == 1 else [])
+        weigh_names(out, {n for m in around for n in m})
     return out
 
 
+def weigh_names(found: list[Block], lifted: set[int]) -> None:
+    """Takes away the blocks in named elements, but for names that are ``lifted`` or that other evidence outweighs.
+
+    A name does not count around a main element or the only article, nor where its element holds most of the page's
+    unlinked text, unless marked main text of some length stands outside of it.
+    """
+    seen = [(b, len(b.text) - b.linked) for b in found if not b.away]
+    total = sum(size for _, size in seen)
+    inside, marked = Counter(), Counter()
+    for b, size in seen:
+        inside.update(dict.fromkeys(b.named, size))
+        if b.main:
+            marked.update(dict.fromkeys(b.named, size))
+    all_marked = sum(size for b, size in seen if b.main)
+    counts = {n for n in inside if 2 * inside[n] <= total or all_marked - marked[n] > 2 * LONG} - lifted
+    for b, _ in seen:
+        b.away = not counts.isdisjoint(b.named)
+
+
 def classify(found: list[Block]) -> None:
     """Pass one."""
     marked = any(b.main and not b.away for b in found)

@@ -187,6 +187,29 @@ def test_main_text_of_marked_and_unmarked_pages():
     assert html_main.main_text("") == html_main.main_text("<<<>") == ""
 
 
+def test_main_text_survives_names_that_only_mention_a_word():
+    prose = "the cat was in the house and it was on the mat with all of them as it had been for all of the days " * 3
+    clean = " ".join(prose.split())
+    end = "<footer><p>&copy; x</p></footer>"
+    for opening, closing in (
+        ("<article class='post-12 post hentry category-news tag-politics'>", "</article>"),
+        ("<div class='container no-sidebar'>", "</div>"), ("<div class='page has-sidebar'>", "</div>"),
+        ("<div class='comments-open'>", "</div>"), ("<div class='has-header'>", "</div>"),
+        ("<article class='promo'>", "</article>"), ("<main id='search'>", "</main>"),
+        ("<div class='sidebar-left'><main>", "</main></div>"), ("<div class='widget-area'><article>", "</article></div>"),
+        ("<div id='sidebar'>", "</div>"),  # holds most of the page's text
+    ):
+        page = f"<body>{opening}<p>{prose}</p><p>{prose}</p>{closing}{end}"
+        assert html_main.main_text(page) == f"{clean}\n{clean}", opening
+    for name in ("comments", "Cookie-Notice", "site_footer", "post-tags", "related-posts", "widget widget_text", "menu-item-3", "ad-300x250"):
+        page = f"<body><div><p>{prose}</p><p>{prose}</p></div><div class='{name}'><p>{prose}</p></div>{end}"
+        assert html_main.main_text(page) == f"{clean}\n{clean}", name
+    # More comments than article: the mark and the name agree.
+    long = f"<p>{prose}</p>" * 2
+    page = f"<body><article>{long}</article><div id='comments'>{''.join(f'<article>{long}</article>' for _ in range(4))}</div>{end}"
+    assert html_main.main_text(page) == f"{clean}\n{clean}"
+
+
 def test_permutation_is_a_bijection_and_matches_spark(spark, docs):
     for n in (1, 2, 17, 100):
         assert sorted(permute(x, n) for x in range(n)) == list(range(n))
