@@ -3,8 +3,8 @@
 Pass one classifies every block by where it stands (inside an article, or inside a menu, footer, form, advert ...),
 its link density, its length and its stop-word density as good, bad, near good or short.  Pass two decides what pass
 one left open: a near-good or short block takes the label of its nearest decided neighbours; where they disagree, a
-near-good one is good, a short one is bad, and a short heading goes with what follows it.  Marked articles make it easy; pages without such marks depend on the text
-rules alone.
+near-good one is good, a short one is bad, and a short heading goes with what follows it.  Marks of articles speak for
+the blocks inside them; what stands outside of marks is judged by the text rules as on pages without marks.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ class Block:
     """Text of a block and what pass one needs to know about it."""
 
     away: bool
-    main: bool
+    main: int  # the outermost mark around it, counted from 1; 0 without one
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     heading: bool = False
@@ -129,13 +129,13 @@ def _stands(name: str, attrs: dict[str, str], main: bool) -> tuple[bool, bool, b
 def read_blocks(page: str) -> list[Block]:
     """The blocks of a page in order, empty ones left out."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []  # element, away, main, skipped, named
-    away = main = skipped = False
+    open_: list[tuple[str, bool, int, bool, tuple[int, ...]]] = []  # element, away, main, skipped, named
+    away = skipped = False
     named: tuple[int, ...] = ()
-    names = 0
+    main = names = regions = 0
     marks: dict[str, list[tuple[int, ...]]] = {"article": [], "main": []}  # the named elements around each
     links = 0
-    block = Block(False, False)
+    block = Block(False, 0)
     at = 0
 
     def text(piece: str) -> None:
@@ -155,7 +155,7 @@ def read_blocks(page: str) -> list[Block]:
     def close(to: int) -> None:
         nonlocal away, main, skipped, named
         del open_[to:]
-        away, main, skipped, named = open_[-1][1:] if open_ else (False, False, False, ())
+        away, main, skipped, named = open_[-1][1:] if open_ else (False, 0, False, ())
 
     while at < len(page):
         tag = _TAG.search(page, at)
@@ -198,11 +198,14 @@ def read_blocks(page: str) -> list[Block]:
             attrs = _attributes(tag["attrs"])
             if name in marks and not away:
                 marks[name].append(named)
-            leaves, marked, against = _stands(name, attrs, main)
+            leaves, marked, against = _stands(name, attrs, bool(main))
+            if marked and not main:
+                regions += 1
+                main = regions
             if against:
                 names += 1
                 named = (*named, names)
-            away, main, skipped = away or leaves, main or marked, skipped or name in _SKIPPED
+            away, skipped = away or leaves, skipped or name in _SKIPPED
             if not tag["attrs"].endswith("/") or blocky:
                 open_.append((name, away, main, skipped, named))
             else:
@@ -222,44 +225,64 @@ def weigh_names(found: list[Block], lifted: set[int]) -> None:
     """Takes away the blocks in named elements, but for names that are ``lifted`` or that other evidence outweighs.
 
     A name does not count around a main element or the only article, nor where its element holds most of the page's
-    unlinked text, unless marked main text of some length stands outside of it.
+    unlinked text.  Beside marked main text that is long, or as short as the element itself, it counts even there.
     """
     seen = [(b, len(b.text) - b.linked) for b in found if not b.away]
     total = sum(size for _, size in seen)
-    inside, marked = Counter(), Counter()
+    inside, marked = Counter(), Counter()  # by name; by mark and the names around
     for b, size in seen:
         inside.update(dict.fromkeys(b.named, size))
         if b.main:
-            marked.update(dict.fromkeys(b.named, size))
-    all_marked = sum(size for b, size in seen if b.main)
-    counts = {n for n in inside if 2 * inside[n] <= total or all_marked - marked[n] > 2 * LONG} - lifted
+            marked[b.main, b.named] += size
+    counts = set()
+    for n in inside:
+        outside = Counter()
+        for (region, names), size in marked.items():
+            if n not in names:
+                outside[region] += size
+        most = max(outside.values(), default=0)
+        if 2 * inside[n] <= total or most > 2 * LONG or (most and inside[n] <= 2 * LONG):
+            counts.add(n)
+    counts -= lifted
     for b, _ in seen:
         b.away = not counts.isdisjoint(b.named)
 
 
+def judge(b: Block) -> str:
+    """Label of a block by its text alone."""
+    size = len(b.text)
+    links = b.linked / size
+    if links > MAX_LINKS or "\N{COPYRIGHT SIGN}" in b.text:
+        return "bad"
+    if size < SHORT:
+        return "bad" if links else "short"
+    words = b.text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if stops >= HIGH_STOPS:
+        return "good" if size > LONG else "near"
+    return "near" if stops >= LOW_STOPS else "bad"
+
+
 def classify(found: list[Block]) -> None:
-    """Pass one."""
-    marked = any(b.main and not b.away for b in found)
+    """Pass one.
+
+    A mark makes the blocks inside good below the link limit, and decides nothing outside.  It is believed where it is
+    the page's only one, holds more than ``2 * LONG`` unlinked characters, or a quarter of the good text outside marks;
+    else (a teaser card beside an unmarked body) the text rules judge its blocks as all others.
+    """
+    sizes = Counter()
+    outside = 0
     for b in found:
-        size = len(b.text)
-        links = b.linked / size
-        if b.away or (marked and not b.main):
-            b.label = "bad"
-        elif links > MAX_LINKS:
-            b.label = "bad"
-        elif b.main:
-            b.label = "good"
-        elif "\N{COPYRIGHT SIGN}" in b.text:
-            b.label = "bad"
-        elif size < SHORT:
-            b.label = "bad" if links else "short"
-        else:
-            words = b.text.lower().split()
-            stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-            if stops >= HIGH_STOPS:
-                b.label = "good" if size > LONG else "near"
-            else:
-                b.label = "near" if stops >= LOW_STOPS else "bad"
+        b.label = "bad" if b.away else judge(b)
+        if b.main and not b.away:
+            sizes[b.main] += len(b.text) - b.linked
+        elif b.label == "good":
+            outside += len(b.text)
+    for b in found:
+        if len(sizes) > 1 and sizes[b.main] <= 2 * LONG and 4 * sizes[b.main] < outside:
+            b.main = 0
+        if b.main and not b.away:
+            b.label = "bad" if b.linked / len(b.text) > MAX_LINKS else "good"
 
 
 def settle(found: list[Block]) -> None:

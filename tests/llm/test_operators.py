@@ -210,6 +210,23 @@ def test_main_text_survives_names_that_only_mention_a_word():
     assert html_main.main_text(page) == f"{clean}\n{clean}"
 
 
+def test_main_text_outside_of_marks_is_judged_by_its_text():
+    prose = "the cat was in the house and it was on the mat with all of them as it had been for all of the days " * 3
+    clean = " ".join(prose.split())
+    cards = "".join(f"<article class='card'><h3><a href=x>Card {i}</a></h3><p>Some few words {i}.</p></article>" for i in range(4))
+    body = f"<h1>Title</h1><p>{prose}</p><p>Short.</p><p>{prose}</p>"
+    wanted = f"Title\n{clean}\nShort.\n{clean}"
+    assert html_main.main_text(f"<nav>Menu</nav><div>{body}</div><div>{cards}</div><footer>x</footer>") == wanted
+    assert html_main.main_text(f"<nav>Menu</nav><div>{cards}</div><div>{body}</div><footer>x</footer>") == wanted
+    # One part of several is marked.
+    page = f"<nav>Menu</nav><div>{body}</div><article><h2>Part two</h2><p>Few words.</p></article><div>{body}</div><footer>x</footer>"
+    assert html_main.main_text(page) == f"{wanted}\nPart two\nFew words.\n{wanted}"
+    # Marked parts without stop words, and nothing else on the page.
+    assert html_main.main_text("<article><p>Xq zw.</p></article><nav>Menu</nav><article><p>Vb nm.</p></article>") == "Xq zw.\nVb nm."
+    # An advert with more text than the whole article.
+    assert html_main.main_text("<div class='ad'>It is the one and the other of all that was in it for them.</div><article>Xq.</article>") == "Xq."
+
+
 def test_permutation_is_a_bijection_and_matches_spark(spark, docs):
     for n in (1, 2, 17, 100):
         assert sorted(permute(x, n) for x in range(n)) == list(range(n))
