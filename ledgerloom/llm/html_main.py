@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,7 +96,7 @@ class Block:
     main: int  # the outermost mark around it, counted from 1; 0 without one
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    heading: bool = False
+    heading: int = 0  # its level
     named: tuple[int, ...] = ()  # the elements around it whose names speak against it
     text: str = ""
     label: str = ""
@@ -211,7 +212,8 @@ def read_blocks(page: str) -> list[Block]:
             else:
                 close(len(open_))
         if blocky:
-            block.away, block.main, block.named, block.heading = away, main, named, not ends and name in _HEADINGS
+            block.away, block.main, block.named = away, main, named
+            block.heading = int(name[1]) if not ends and name in _HEADINGS else 0
         elif (away, named) != (block.away, block.named) and not block.parts:
             block.away, block.named = away, named
     cut()
@@ -251,11 +253,13 @@ def weigh_names(found: list[Block], lifted: set[int]) -> None:
 def judge(b: Block) -> str:
     """Label of a block by its text alone."""
     size = len(b.text)
+    if size < SHORT and "\N{COPYRIGHT SIGN}" in b.text:
+        return "bad"
     links = b.linked / size
-    if links > MAX_LINKS or "\N{COPYRIGHT SIGN}" in b.text:
+    if size < SHORT or (b.heading and links > MAX_LINKS):
+        return "short"
+    if links > MAX_LINKS:
         return "bad"
-    if size < SHORT:
-        return "bad" if links else "short"
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
     if stops >= HIGH_STOPS:
@@ -266,7 +270,8 @@ def judge(b: Block) -> str:
 def classify(found: list[Block]) -> None:
     """Pass one.
 
-    A mark makes the blocks inside good below the link limit, and decides nothing outside.  It is believed where it is
+    A mark makes the blocks inside good below the link limit and short above it (titles that are links, reference lists),
+    so that nothing in it is bad for its links, and decides nothing outside.  It is believed where it is
     the page's only one, holds more than ``2 * LONG`` unlinked characters, or a quarter of the good text outside marks;
     else (a teaser card beside an unmarked body) the text rules judge its blocks as all others.
     """
@@ -282,7 +287,7 @@ def classify(found: list[Block]) -> None:
         if len(sizes) > 1 and sizes[b.main] <= 2 * LONG and 4 * sizes[b.main] < outside:
             b.main = 0
         if b.main and not b.away:
-            b.label = "bad" if b.linked / len(b.text) > MAX_LINKS else "good"
+            b.label = "short" if b.linked / len(b.text) > MAX_LINKS else "good"
 
 
 def settle(found: list[Block]) -> None:
@@ -298,14 +303,22 @@ def settle(found: list[Block]) -> None:
         after.append(last)
         last = k or last
     after.reverse()
-    for b, kind, left, right in zip(found, first, before, after):
+    # Inside a mark only neighbours of the same mark count, and what is decided there (but for what is away) is good.
+    told = {b.main for b in found if b.main and b.label == "good"}
+    for i, (b, kind, left, right) in enumerate(zip(found, first, before, after)):
         if kind in ("short", "near"):
             b.label = left if left == right else ("good" if kind == "near" else "bad")
             if b.heading and kind == "short":
                 b.label = right  # a heading goes with what follows it
+                if b.linked / len(b.text) > MAX_LINKS:
+                    # One that is a link may belong to a teaser: only what stands below it, up to the next heading, counts.
+                    below = takewhile(lambda j: not 0 < found[j].heading <= b.heading, range(i + 1, len(found)))
+                    b.label = "good" if any(first[j] == "good" for j in below) else "bad"
+            if b.main in told:
+                b.label = "good"
     if not any(b.label == "good" for b in found):
         for b, kind in zip(found, first):
-            b.label = "good" if kind == "near" else b.label
+            b.label = "good" if kind == "near" or (kind == "short" and b.main) else b.label
 
 
 def main_text(page: str) -> str:

@@ -227,6 +227,26 @@ def test_main_text_outside_of_marks_is_judged_by_its_text():
     assert html_main.main_text("<div class='ad'>It is the one and the other of all that was in it for them.</div><article>Xq.</article>") == "Xq."
 
 
+def test_main_text_keeps_links_and_copyright_signs_of_the_text():
+    prose = "the cat was in the house and it was on the mat with all of them as it had been for all of the days " * 3
+    clean = " ".join(prose.split())
+    link = "<a href=x>{}</a>".format
+    page = (
+        f"<nav>{link('Home')}</nav><article><h1>{link('The title')}</h1><p>{prose}</p><p>See {link('this other page')}</p><p>{prose}</p>"
+        f"<div class='share'>{link('Share')}</div><ol><li>{link('A reference, of some length, to the first of all the other texts')} 1990</li>"
+        f"<li>{link('Second')}</li></ol></article><footer>{link('Imprint')}</footer>"
+    )
+    references = "A reference, of some length, to the first of all the other texts 1990\nSecond"
+    assert html_main.main_text(page) == f"The title\n{clean}\nSee this other page\n{clean}\n{references}"
+    # Without marks.
+    page = (
+        f"<ul><li>{link('Home')}</li><li>{link('News')}</li></ul><h1>{link('The title')}</h1><p>{prose}</p><p>See {link('this')}</p>"
+        f"<p>{prose} The \N{COPYRIGHT SIGN} sign was on it.</p><p>\N{COPYRIGHT SIGN} 2020 Foo</p>"
+    )
+    got = html_main.main_text(page)
+    assert got == f"The title\n{clean}\nSee this\n{clean} The \N{COPYRIGHT SIGN} sign was on it."
+
+
 def test_permutation_is_a_bijection_and_matches_spark(spark, docs):
     for n in (1, 2, 17, 100):
         assert sorted(permute(x, n) for x in range(n)) == list(range(n))
