@@ -1,8 +1,11 @@
 """License scan: Dice coefficient of word bigrams between text segments and licence templates; DataFrame functions only.
 
 A segment is a line, or a paragraph (lines up to an empty one) of several lines.  Segments are normalised (lower case,
-runs of anything but letters and digits are one blank) and compared to the templates whose bigram count allows the
-wanted coefficient at all: ``2 * min / (a + b) >= t`` bounds the sizes to a factor of ``(2 - t) / t`` of each other.
+runs of anything but letters and digits are one blank).  A whole segment is compared to the templates whose bigram count
+allows the wanted coefficient at all: ``2 * min / (a + b) >= t`` bounds the sizes to a factor of ``(2 - t) / t`` of each
+other.  Inside a segment, every window of the template's length that begins with one of its bigrams is compared, cut off
+after the last of them, so that a notice is found wherever it stands in a line or a paragraph.  Lines that hold a
+notice of their own are left out of the windows of their paragraph.
 
 The same bound says how many of a template's bigrams a match must share.  ``cover_words`` picks words that stand in so
 many of them that a segment without any of these words cannot reach ``t``; such segments are left before their bigrams
@@ -53,9 +56,13 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
 )
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a normalised template; a single word counts as itself."""
-    words = re.sub(r"[\W_]+", " ", text.lower()).split()
+    words = _words(text)
     pairs = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
     return sorted(set(pairs))
 
@@ -65,11 +72,30 @@ def normalised(segment: Column) -> Column:
     return F.trim(F.regexp_replace(segment, r"[^\p{L}\p{N}]+", " "))
 
 
-def _segment_bigrams(segment: Column) -> Column:
+def _pairs(segment: Column) -> Column:
+    """Word bigrams of a normalised segment in order; a single word counts as itself."""
     words = F.split(segment, " ")
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     # zip_with pads the shorter side with null; the padded pair is null.
-    return F.when(F.size(words) == 1, words).otherwise(F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())))
+    return F.when(F.size(words) == 1, words).otherwise(F.filter(pairs, lambda p: p.isNotNull()))
+
+
+def _dice(pairs: Column, template: Column) -> Column:
+    """Coefficient of distinct bigrams; ``pairs`` may repeat some."""
+    shared = F.size(F.array_intersect(pairs, template["g"]))
+    return F.lit(2.0) * shared / (F.size(F.array_distinct(pairs)) + F.size(template["g"]))
+
+
+def _windows(pairs: Column, template: Column) -> Column:
+    """Stretches of ``pairs`` of the template's length that begin and end with one of its bigrams and hold enough of them."""
+    length, low = template["length"], template["low"]
+    at = F.filter(F.transform(pairs, lambda p, i: F.when(F.array_contains(template["g"], p), i)), lambda i: i.isNotNull())
+    # ``at`` is computed once: it is bound as the only element of an array.
+    inside = F.flatten(F.transform(F.array(at), lambda at: F.transform(
+        at, lambda i, k: F.filter(F.slice(at, k + 1, length), lambda j: j < i + length)
+    )))
+    enough = F.filter(inside, lambda w: F.size(w) >= low)
+    return F.transform(enough, lambda w: F.slice(pairs, w[0] + 1, F.element_at(w, -1) - w[0] + 1))
 
 
 def _size_bounds(n: int, t: float) -> tuple[int, int]:
@@ -109,56 +135,92 @@ def scan_licenses(
     """One row per row of ``docs``: doc_id, n_segments, n_matches, license, terms, dice, segment.
 
     ``n_segments`` counts segments with a letter or digit; ``n_matches`` those that reach the threshold with some
-    template.  The best match (highest coefficient, then earliest template, then earliest segment, counted from 0,
-    lines before paragraphs) names the licence; the last four columns are null without a match.  Null and empty
-    texts have no segments.  Repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
+    template, whole or in a window.  The best match (highest coefficient, then earliest template, then earliest segment,
+    counted from 0, lines before paragraphs) names the licence; the last four columns are null without a match.  Null
+    and empty texts have no segments.  Repeated rows are scanned each; an empty table gives no rows; other columns are
+    ignored.  A template of one word is compared to whole segments only.
     """
     need_columns(docs, "doc_id", "text")
     grams = [bigrams(t) for _, _, t in templates]
     bounds = [_size_bounds(len(g), threshold) for g in grams]
-    least, most = min(b[0] for b in bounds), max(b[1] for b in bounds)
+    least = min(b[0] for b in bounds)
     known = F.array(*[
         F.struct(
-            F.lit(i).alias("i"), F.lit(b[0]).alias("low"), F.lit(b[1]).alias("high"), F.array(*map(F.lit, g)).alias("g")
+            F.lit(i).alias("i"), F.lit(b[0]).alias("low"), F.lit(b[1]).alias("high"),
+            F.lit(max(len(_words(t[2])) - 1, 1)).alias("length"), F.split(F.lit("\n".join(g)), "\n").alias("g"),
         )
-        for i, (g, b) in enumerate(zip(grams, bounds))
+        for i, (t, g, b) in enumerate(zip(templates, grams, bounds))
     ])
     cover = cover_words(grams, threshold)
+    whole_words = F.array(*map(F.lit, cover))
     rows = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
     paragraphs = F.filter(F.split("_t", r"\n\s*\n", -1), lambda p: F.contains(F.trim(p), F.lit("\n")))
 
     def covered(c: Column) -> Column:
         return reduce(or_, [F.contains(c, F.lit(w)) for w in cover])
 
-    rows = rows.select("doc_id", covered(F.col("_t")).alias("_hit"), F.filter(
-        F.concat(F.split("_t", "\n", -1), paragraphs), lambda s: s.rlike(r"[\p{L}\p{N}]")
-    ).alias("_s"))
-    numbered = F.transform("_s", lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    # Of most documents no segment has to be looked at.
+    def lettered(segments: Column) -> Column:
+        return F.filter(segments, lambda s: s.rlike(r"[\p{L}\p{N}]"))
+
+    def able(s: Column) -> Column:
+        # A segment of w words has at most w - 1 bigrams, and repeated ones only make it fewer.
+        return (F.size(F.split(s, " ")) > least) & F.arrays_overlap(F.split(s, " "), whole_words)
+
     rows = rows.select(
-        "doc_id", F.size("_s").cast("bigint").alias("n_segments"),
-        F.when(F.col("_hit"), F.filter(numbered, lambda x: covered(x["s"])))
-        .otherwise(F.filter(numbered, lambda x: F.lit(False))).alias("_s"),
+        "doc_id", covered(F.col("_t")).alias("_hit"), lettered(F.split("_t", "\n", -1)).alias("_ls"), lettered(paragraphs).alias("_ps")
     )
-    # Word counts next: a segment of w words has at most w - 1 bigrams, and repeated ones only make it fewer.
-    rows = rows.withColumn("_s", F.transform("_s", lambda x: F.struct(x["i"].alias("i"), normalised(x["s"]).alias("s"))))
-    whole_words = F.array(*map(F.lit, cover))
-    rows = rows.withColumn("_s", F.filter("_s", lambda x: (F.size(F.split(x["s"], " ")) > least)
-                                          & F.arrays_overlap(F.split(x["s"], " "), whole_words)))
-    rows = rows.withColumn("_s", F.filter(
-        F.transform("_s", lambda x: F.struct(x["i"].alias("i"), _segment_bigrams(x["s"]).alias("g"))),
-        lambda x: F.size(x["g"]).between(least, most),
-    ))
+    # Of most documents no segment has to be looked at.  The new names differ, as a lambda would read a column made beside it.
+    count = F.size("_ls")
 
-    def best(x: Column) -> Column:
-        fitting = F.filter(known, lambda t: F.size(x["g"]).between(t["low"], t["high"]))
+    def picked(segments: str, first: Column) -> Column:
+        numbered = F.transform(segments, lambda s, i: F.struct((i + first).alias("i"), s.alias("raw")))
+        return F.filter(numbered, lambda x: F.col("_hit") & covered(x["raw"]))
+
+    rows = rows.select(
+        "doc_id", (count + F.size("_ps")).cast("bigint").alias("n_segments"),
+        picked("_ls", F.lit(0)).alias("_l"), picked("_ps", count).alias("_p"),
+    )
+
+    def best(i: Column, whole: Column, parts: Column) -> Column:
+        """Highest coefficient of a segment, null if none is in reach; ``parts`` are the bigrams for windows."""
+        distinct = F.array_distinct(whole)
+        fitting = F.filter(known, lambda t: F.size(distinct).between(t["low"], t["high"]))
         scored = F.transform(fitting, lambda t: F.struct(
-            (F.lit(2.0) * F.size(F.array_intersect(x["g"], t["g"])) / (F.size(x["g"]) + F.size(t["g"]))).alias("dice"),
-            (-t["i"]).alias("template"), (-x["i"]).alias("segment"),
+            _dice(distinct, t).alias("dice"), (-t["i"]).alias("template"), (-i).alias("segment")
+        ))
+        # No window shares more of a template's bigrams than the segment.
+        held = F.filter(known, lambda t: F.size(F.array_intersect(parts, t["g"])) >= t["low"])
+        inside = F.transform(held, lambda t: F.struct(
+            F.array_max(F.transform(_windows(parts, t), lambda w: _dice(w, t))).alias("dice"),
+            (-t["i"]).alias("template"), (-i).alias("segment"),
         ))
-        return F.array_max(scored)
+        return F.array_max(F.filter(F.concat(scored, inside), lambda m: m["dice"] >= threshold))
 
-    rows = rows.select("doc_id", "n_segments", F.filter(F.transform("_s", best), lambda m: m["dice"] >= threshold).alias("_m"))
+    def matches(segments: Column) -> Column:
+        found = F.transform(segments, lambda x: F.struct(x["raw"].alias("raw"), best(x["i"], x["whole"], x["parts"]).alias("m")))
+        return F.filter(found, lambda x: x["m"].isNotNull())
+
+    lines = F.transform("_l", lambda x: F.struct(x["i"].alias("i"), x["raw"].alias("raw"), normalised(x["raw"]).alias("s")))
+    rows = rows.withColumn("_l", F.filter(lines, lambda x: able(x["s"])))
+    rows = rows.withColumn("_l", F.transform("_l", lambda x: F.struct(x["i"].alias("i"), x["raw"].alias("raw"), _pairs(x["s"]).alias("whole"))))
+    rows = rows.withColumn("_l", matches(F.transform("_l", lambda x: x.withField("parts", x["whole"]))))
+
+    own = F.transform("_l", lambda x: x["raw"])
+
+    def without_own(raw: Column) -> Column:
+        # What stands for a line that is left out has no letter, so that no bigram of a template goes across it.
+        kept = F.transform(F.split(raw, "\n", -1), lambda s: F.when(F.array_contains(own, s), F.lit("|")).otherwise(normalised(s)))
+        return F.array_join(F.filter(kept, lambda s: s != ""), " ")
+
+    texts = F.transform("_p", lambda x: F.struct(
+        x["i"].alias("i"), x["raw"].alias("raw"), normalised(x["raw"]).alias("s"), without_own(x["raw"]).alias("o")
+    ))
+    rows = rows.withColumn("_p", F.filter(texts, lambda x: able(x["s"])))
+    rows = rows.withColumn("_p", F.transform("_p", lambda x: F.struct(
+        x["i"].alias("i"), x["raw"].alias("raw"), _pairs(x["s"]).alias("whole"), _pairs(x["o"]).alias("parts")
+    )))
+    rows = rows.withColumn("_p", matches(F.col("_p")))
+    rows = rows.select("doc_id", "n_segments", F.transform(F.concat("_l", "_p"), lambda x: x["m"]).alias("_m"))
     rows = rows.select("doc_id", "n_segments", F.size("_m").cast("bigint").alias("n_matches"), F.array_max("_m").alias("_best"))
     names, terms = (F.array(*[F.lit(t[k]) for t in templates]) for k in (0, 1))
     return rows.select(

@@ -276,6 +276,22 @@ def test_license_wordings_are_found(docs):
     assert [r["segment"] for r in got] == [1, 0, None, None]
 
 
+def test_license_notices_are_found_wherever_they_stand(docs):
+    filler = " ".join(f"filler{i}" for i in range(300))
+    notice = "Released under the MIT License"
+    texts = [
+        f"{notice}, see the file.", f"Copyright 2020 Foo Inc. {notice}.", f"Here is one more sentence of text. {notice}.",
+        f"{filler} {notice} {filler}", f"{filler}\n{filler} released under\nthe MIT license {filler}",
+        f"{filler}. Licensed under CC BY-NC 4.0. {filler}. Released under it.", f"{filler} released {filler} under the {filler} license",
+        f"Some text\n{notice}.\nmore text", f"{filler} {notice}. {filler}\n{filler}",
+    ]
+    got = license_dice.scan_licenses(docs(texts)).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == ["MIT"] * 5 + ["CC-BY-NC-4.0", None, "MIT", "MIT"]
+    assert [r["n_matches"] for r in got] == [1, 1, 1, 1, 1, 1, 0, 1, 1]
+    assert [r["segment"] for r in got] == [0, 0, 0, 0, 3, 0, None, 1, 0]
+    assert all(r["dice"] == 1.0 for r in got if r["license"])
+
+
 def test_license_cover_words_lose_no_match():
     for threshold in (0.5, 0.75, 1.0):
         grams = [license_dice.bigrams(t) for _, _, t in license_dice.TEMPLATES]
