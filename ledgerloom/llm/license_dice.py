@@ -22,12 +22,18 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.license_texts import BSD_2, PARAGRAPHS
 from ledgerloom.llm.textnum import need_columns
 
 THRESHOLD = 0.75
 
+COMMON = frozenset(
+    "a all an and any are as at be by can does each for from if in into is it may no not of on one or other out such than"
+    " that the their there these they this those to under was we which who will with you your".split()
+)
+
 # Licence, kind of its terms, usual wordings of its notice.
-TEMPLATES: tuple[tuple[str, str, str], ...] = (
+NOTICES: tuple[tuple[str, str, str], ...] = (
     ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "permissive", "This project is licensed under the Apache License 2.0"),
@@ -55,6 +61,9 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("Unlicense", "public domain", "This is free and unencumbered software released into the public domain"),
 )
 
+# The first of equal coefficients wins, so that the one text that others hold parts of comes first.
+TEMPLATES: tuple[tuple[str, str, str], ...] = (BSD_2, *NOTICES, *PARAGRAPHS)
+
 
 def _words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
@@ -111,7 +120,8 @@ def cover_words(grams: Sequence[Sequence[str]], t: float) -> list[str]:
     """Words of which every segment holds one that reaches ``t`` with some template.
 
     A match shares ``low`` of a template's ``n`` bigrams or more, so ``n - low + 1`` of them cannot all be absent.  Words
-    are chosen greedily until every template has so many bigrams with a chosen word; long words count for more.
+    are chosen greedily until every template has so many bigrams with a chosen word; long words count for more, and words
+    of every text only where no others are left.
     """
     left = [(set(g), len(g) - _size_bounds(len(g), t)[0] + 1) for g in grams]
     chosen: list[str] = []
@@ -121,7 +131,7 @@ def cover_words(grams: Sequence[Sequence[str]], t: float) -> list[str]:
             if need > 0:
                 for word in {w for g in open_ for w in g.split()}:
                     gains[word] = gains.get(word, 0) + min(need, sum(word in g.split() for g in open_))
-        word = max(gains, key=lambda w: (gains[w] * len(w) ** 2, w))
+        word = max(gains, key=lambda w: (w not in COMMON, gains[w] * len(w) ** 2, w))
         chosen.append(word)
         for i, (open_, need) in enumerate(left):
             hit = {g for g in open_ if word in g.split()}
@@ -153,11 +163,13 @@ def scan_licenses(
     ])
     cover = cover_words(grams, threshold)
     whole_words = F.array(*map(F.lit, cover))
+    # A word that holds another one needs no search of its own.
+    parts = [w for w in cover if not any(v != w and v in w for v in cover)]
     rows = docs.select("doc_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
     paragraphs = F.filter(F.split("_t", r"\n\s*\n", -1), lambda p: F.contains(F.trim(p), F.lit("\n")))
 
     def covered(c: Column) -> Column:
-        return reduce(or_, [F.contains(c, F.lit(w)) for w in cover])
+        return reduce(or_, [F.contains(c, F.lit(w)) for w in parts])
 
     def lettered(segments: Column) -> Column:
         return F.filter(segments, lambda s: s.rlike(r"[\p{L}\p{N}]"))

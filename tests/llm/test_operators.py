@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import bestfit, html_main, license_dice, odd_sketch_dedup, oph_fingerprint, piece_sampling
+from ledgerloom.llm import bestfit, html_main, license_dice, license_texts, odd_sketch_dedup, oph_fingerprint, piece_sampling
 from ledgerloom.llm.feistel_shards import permute, shard_rows
 from ledgerloom.llm.host_rules import quality_rules
 from ledgerloom.llm.langid import UNKNOWN, fit_languages, predict_languages
@@ -292,6 +293,27 @@ def test_license_notices_are_found_wherever_they_stand(docs):
     assert all(r["dice"] == 1.0 for r in got if r["license"])
 
 
+def test_full_license_texts_are_found_wrapped_and_on_one_line(docs):
+    full = {}
+    for name, _, paragraph in license_texts.PARAGRAPHS:
+        full.setdefault(name, []).append(paragraph)
+    full["MIT"].insert(0, "MIT License\n\nCopyright (c) 2020 Foo Inc.")
+    bsd = ["Copyright (c) 2020, Foo Inc."] + [p for name, _, p in license_texts.PARAGRAPHS if name == "BSD-3-Clause"][1:5]
+    full["BSD-2-Clause"] = [f"{bsd[0]}\n{bsd[1]}\n1. {bsd[2]}\n2. {bsd[3]}\n{bsd[4]}"]
+    filler = " ".join(f"filler{i}" for i in range(200))
+    names, texts = [], []
+    for name, paragraphs in full.items():
+        wrapped = "\n\n".join("\n".join(f" * {line}" for line in textwrap.wrap(p, 72)) for p in paragraphs)
+        one = " ".join(" ".join(paragraphs).split())
+        names += [name] * 3
+        texts += [wrapped, one, f"{filler} {one} {filler}"]
+    for name, _, p in license_texts.PARAGRAPHS:  # each alone, on one line
+        texts.append(p)
+    got = license_dice.scan_licenses(docs(texts)).orderBy("doc_id").collect()
+    assert [r["license"] for r in got[: len(names)]] == names
+    assert all(r["n_matches"] and r["dice"] == 1.0 for r in got)
+
+
 def test_license_cover_words_lose_no_match():
     for threshold in (0.5, 0.75, 1.0):
         grams = [license_dice.bigrams(t) for _, _, t in license_dice.TEMPLATES]
