@@ -1,9 +1,11 @@
 """Quality rules with host verdicts; DataFrame functions only.
 
-Base rules look at one text.  Host rules look at the share of a host's texts that fail them: the share is shrunk
-towards the corpus by a beta prior fitted to the hosts' shares (method of moments), and a host whose shrunk share is
-above ``max_rate`` loses all its texts.  A host with few texts stays close to the prior, so it is not condemned by one
-bad text.
+Base rules look at one text.  Host rules look at the shares of a host's texts that fail the base rules, have too many
+symbols, too many repeated lines, or words of odd length: each share is shrunk towards the corpus by its own beta prior
+fitted to the hosts' shares (method of moments), and a host with a shrunk share above its limit loses all its texts.
+The limit is ``SPREADS`` standard deviations above the mean of the prior fitted to the other hosts with shares up to
+``max_host_rate``, but never below ``MIN_HOST_LIMIT`` nor above ``max_host_rate``.  A host with few texts stays close to the prior, so it is not condemned
+by one bad text.
 """
 
 from __future__ import annotations
@@ -17,6 +19,11 @@ from ledgerloom.storage import broadcast_if_small, materialize
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.8
+MIN_HOST_LIMIT = 0.6  # one failing text at the least prior weight stays below
+SPREADS = 4.0
+MAX_SYMBOL_PERCENT = 10  # of the words
+MAX_DUP_LINE_PERCENT = 30
+WORD_LENGTHS = (2, 12)  # mean letters a word
 MOST_PRIOR_WEIGHT = 1000.0  # hosts that hardly differ would make the prior infinitely strong
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +73,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
         F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size("_lines").cast("bigint").alias("n_lines"),
         hashes.alias("_h"),
     )
     rows = rows.withColumn(
@@ -76,27 +84,69 @@ def base_measures(docs: DataFrame) -> DataFrame:
         ),
     )
     return rows.select(
-        "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines",
         _repeated_words(F.col("_h")).alias("n_repeat_words"),
     )
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """Per host (``source``): texts, failures, and the failure rate shrunk by the fitted beta prior."""
+def host_failures() -> dict[str, Column]:
+    """What is counted per host, over the measures of a text; only a text with words has symbols, lines and lengths."""
+    n = F.col("n_words")
+    return {
+        "base": F.col("base_failed"),
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * n,
+        "dup_lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+        "lengths": (F.col("word_chars") < WORD_LENGTHS[0] * n) | (F.col("word_chars") > WORD_LENGTHS[1] * n),
+    }
+
+
+def _prior(texts: Column, failures: Column, square: Column) -> tuple[Column, Column]:
+    """Mean and weight of the beta prior of hosts with these sums; ``square`` sums texts * rate ** 2."""
+    mean = failures / texts
+    spread = square / texts - mean * mean
+    weight = F.greatest(F.lit(1.0), F.least(F.lit(MOST_PRIOR_WEIGHT), mean * (1 - mean) / spread - 1))
+    return mean, F.when(spread > 0, weight).otherwise(MOST_PRIOR_WEIGHT)
+
+
+def host_rates(measured: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """Per host (``source``): texts, failures and shrunk rate of the base rules, and whether any rate is above its limit."""
+    rules = host_failures()
     hosts = measured.filter("source is not null").groupBy("source").agg(
-        F.count(F.lit(1)).alias("texts"), F.sum(F.col("base_failed").cast("bigint")).alias("failures")
+        F.count(F.lit(1)).alias("texts"), *[F.sum(failed.cast("bigint")).alias(k) for k, failed in rules.items()]
     )
-    rate = F.col("failures") / F.col("texts")
-    totals = hosts.agg(
-        (F.sum("failures") / F.sum("texts")).alias("mean"),
-        F.sum(F.col("texts") * rate * rate).alias("_square"), F.sum("texts").alias("_texts"),
+
+    def square(k: str) -> Column:
+        rate = F.col(k) / F.col("texts")
+        return F.col("texts") * rate * rate
+
+    def usual(k: str) -> Column:
+        return F.col(k) <= max_host_rate * F.col("texts")
+
+    def own(k: str) -> dict[str, Column]:
+        return {"texts": F.col("texts"), "failures": F.col(k), "square": square(k)}
+
+    sums = [F.sum("texts").alias("texts")]
+    for k in rules:
+        sums += [F.sum(k).alias(k), F.sum(square(k)).alias(f"{k}_square")]
+        sums += [F.coalesce(F.sum(F.when(usual(k), v)), F.lit(0)).alias(f"{k}_usual_{n}") for n, v in own(k).items()]
+    total = hosts.agg(*sums).select(F.struct("*")).scalar()
+    rated = hosts.withColumn("_all", total)
+    above = F.lit(False)
+    for k in rules:
+        mean, weight = _prior(F.col("_all.texts"), F.col(f"_all.{k}"), F.col(f"_all.{k}_square"))
+        rated = rated.withColumn(f"{k}_rate", (F.col(k) + mean * weight) / (F.col("texts") + weight))
+        # A bad host would raise its own limit, and those above the upper one that of others.
+        texts, failures, squares = (
+            F.col(f"_all.{k}_usual_{n}") - F.when(usual(k), v).otherwise(F.lit(0)) for n, v in own(k).items()
+        )
+        others = F.when(texts > 0, texts)
+        mean, weight = _prior(others, failures, squares)
+        limit = F.greatest(F.lit(MIN_HOST_LIMIT), mean + SPREADS * F.sqrt(F.greatest(mean * (1 - mean), F.lit(0.0)) / (weight + 1)))
+        limit = F.when(others.isNull(), max_host_rate).otherwise(F.least(F.lit(max_host_rate), limit))
+        above = above | (F.col(f"{k}_rate") > limit)
+    return rated.select(
+        "source", "texts", F.col("base").alias("failures"), F.col("base_rate").alias("rate"), above.alias("condemned")
     )
-    spread = F.col("_square") / F.col("_texts") - F.col("mean") * F.col("mean")
-    between = F.col("mean") * (1 - F.col("mean"))
-    weight = F.when(spread > 0, F.greatest(F.lit(1.0), F.least(F.lit(MOST_PRIOR_WEIGHT), between / spread - 1))).otherwise(MOST_PRIOR_WEIGHT)
-    prior = totals.select(F.struct("mean", weight.alias("weight"))).scalar()
-    shrunk = (F.col("failures") + prior["mean"] * prior["weight"]) / (F.col("texts") + prior["weight"])
-    return hosts.select("source", "texts", "failures", shrunk.alias("rate"))
 
 
 def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -111,12 +161,14 @@ def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Data
     # The measures are the whole cost: written once, then read for the hosts and for the documents.
     measured = materialize(base_measures(docs).withColumn("base_failed", failed), "measures")
     verdicts = materialize(
-        host_rates(measured).select(F.col("source").alias("_host"), F.col("rate").alias("host_rate")), "hosts"
+        host_rates(measured, max_host_rate).select(
+            F.col("source").alias("_host"), F.col("rate").alias("host_rate"), F.col("condemned").alias("_condemned")
+        ), "hosts",
     )
     # Up to a counted bound the verdicts go to the documents; beyond it, adaptive execution splits a hot host.
     verdicts = broadcast_if_small(verdicts)
     joined = measured.join(verdicts, F.col("source") == F.col("_host"), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate",
-        (~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_host_rate)).alias("kept"),
+        (~F.col("base_failed") & ~F.coalesce("_condemned", F.lit(False))).alias("kept"),
     )

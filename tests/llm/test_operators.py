@@ -324,6 +324,21 @@ def test_license_cover_words_lose_no_match():
             assert 2 * len(rest) / (len(g) + len(rest)) < threshold
 
 
+def test_hosts_are_judged_by_several_rules(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = []
+    for h in range(8):
+        rows += [(f"fine{h}", good + f" f{i}") for i in range(30)]
+    rows += [("symbols", " ".join(f"word{i}$$$ word{i}%%%" for i in range(40)) + f" s{i}") for i in range(30)]
+    rows += [("three quarters", "short" if i % 4 else good + f" q{i}") for i in range(200)]
+    rows += [("lines", "\n".join([good, good, good]) + f"\nl{i}") for i in range(30)]
+    rows += [("lengths", " ".join(f"w{'x' * 30}{j}" for j in range(60)) + f" {i}") for i in range(30)]
+    rows += [("one text", " ".join(f"word{i}$$$" for i in range(60)))]
+    table = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    kept = {rows[r["doc_id"]][0] for r in quality_rules(table).collect() if r["kept"]}
+    assert kept == {f"fine{h}" for h in range(8)} | {"one text"}
+
+
 def test_a_bad_host_loses_its_good_texts(spark):
     good = " ".join(f"w{i}" for i in range(60))
     rows = [(i, "short", "bad") for i in range(400)] + [(400, good, "bad")] + [(500 + i, good + str(i), "fine") for i in range(400)]
