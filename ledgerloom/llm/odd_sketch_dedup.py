@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.textnum import blocks, ready_for_python, mix, need_columns, row_starts, shingles, word_hashes
+from ledgerloom.operators.ordered import number_rows
 from ledgerloom.storage import materialize
 
 BANDS, ROWS = 32, 4  # of the first BANDS * ROWS samples
@@ -268,15 +269,35 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest ``doc_id``; the columns stay as they are.
 
-    Of rows that repeat a kept ``doc_id`` the one with the smallest text stays.  Rows without ``doc_id`` stay.
+    Where a ``doc_id`` repeats with other texts, each text is a document of its own (the smallest of near copies under
+    one id stays), but a null one beside a text is dropped.  Of rows that repeat id and text one stays.  Rows without
+    ``doc_id`` stay.
     """
-    decided = near_duplicates(docs, similarity)
-    keep = decided.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
+    need_columns(docs, "doc_id", "text")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    with_id = docs.filter("doc_id is not null")
+    key = F.col("doc_id").cast("bigint")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    several = with_id.groupBy(key.alias("_id")).agg(F.min(text_hash).alias("_a"), F.max(text_hash).alias("_b")).filter("_a < _b")
+    if several.isEmpty():
+        decided = near_duplicates(docs, similarity)
+        keep = decided.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
+        left = with_id.join(keep, key == F.col("_keep"), "left_semi")
+    else:
+        pairs = with_id.select(key.alias("_id"), "text").distinct()
+        numbered = materialize(
+            number_rows(pairs, [F.col("_id").asc(), F.col("text").asc_nulls_last()], name="_n"), "numbered"
+        )
+        decided = near_duplicates(numbered.select(F.col("_n").alias("doc_id"), "text"), similarity)
+        keep = numbered.join(decided.filter("kept").select(F.col("doc_id").alias("_n")), "_n", "left_semi")
+        texts = keep.select(F.col("_id").alias("_keep"), F.col("text").alias("_text"))
+        told = with_id.filter("text is not null").select(key.alias("_told")).distinct()
+        left = with_id.join(texts, (key == F.col("_keep")) & F.col("text").eqNullSafe(F.col("_text")), "left_semi")
+        left = left.filter("text is not null").unionByName(
+            left.filter("text is null").join(told, key == F.col("_told"), "left_anti")
+        )
     one = (
-        docs.filter("doc_id is not null")
-        .join(keep, F.col("doc_id").cast("bigint") == F.col("_keep"), "left_semi")
-        .groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("_row"))
-        .select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+        left.groupBy("doc_id", "text").agg(F.min(F.struct("text", *others)).alias("_row"))
+        .select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_row.{c}").alias(c) for c in docs.columns])
     )
     return one.unionByName(docs.filter("doc_id is null"))

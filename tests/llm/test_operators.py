@@ -324,6 +324,13 @@ def test_license_cover_words_lose_no_match():
             assert 2 * len(rest) / (len(g) + len(rest)) < threshold
 
 
+def test_near_filter_keeps_other_texts_of_a_repeated_id(spark):
+    long = [" ".join(f"{w}{i}" for i in range(80)) for w in "abcd"]
+    rows = [(1, long[0]), (1, long[1]), (1, None), (2, long[0] + " end"), (2, long[2]), (3, None), (4, long[3]), (4, long[3])]
+    got = odd_sketch_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == [(1, long[0]), (1, long[1]), (2, long[2]), (3, ""), (4, long[3])]
+
+
 def test_hosts_are_judged_by_several_rules(spark):
     good = " ".join(f"word{i}" for i in range(60))
     rows = []
