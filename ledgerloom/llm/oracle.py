@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import feistel_shards, host_rules, license_dice, odd_sketch_dedup
+from ledgerloom.llm import feistel_shards, host_rules, license_dice, odd_sketch_dedup, phrase_automata
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,9 +140,46 @@ def _near_duplicates() -> str:
     FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)"""
 
 
+def _phrases() -> str:
+    m = phrase_automata
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {n} AS words, array_to_string(w[i:i + {n - 1}], ' ') AS phrase "
+        f"FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM worded)"
+        for n in range(1, m.WORDS + 1)
+    )
+    first, rest = "array_to_string(w[1:k], ' ')", "array_to_string(w[k + 1:], ' ')"
+    return f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, '{m.UNDETERMINED}') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents WHERE text IS NOT NULL),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    counted AS MATERIALIZED (SELECT lang, words, phrase, count(*)::BIGINT AS a FROM ({grams}) GROUP BY ALL),
+    totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang),
+    candidates AS (
+        SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE words >= 2 AND a >= {m.LEAST}),
+    cuts AS (SELECT *, unnest(range(1, words)) AS k FROM candidates),
+    scored AS (
+        SELECT c.lang, c.words, c.phrase, c.a, k, x.a AS l, y.a AS r,
+            ({m.SCALE}::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+        FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = {first}
+        JOIN counted y ON y.lang = c.lang AND y.phrase = {rest}),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (
+        SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a
+        FROM candidates WHERE words = 3),
+    longer AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+    left_over AS (
+        SELECT b.* FROM best b LEFT JOIN longer USING (lang, phrase)
+        WHERE most IS NULL OR 100 * most < {m.SHARE} * b.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank,
+        phrase, a, l, r, n, score
+    FROM left_over JOIN totals USING (lang) QUALIFY rank <= {m.TOP}"""
+
+
 ORACLE: dict[str, str] = {
     "op5_sharding": _sharding(),
     "op7_quality_rules": _quality(),
     "op8_license_scan": _licenses(),
     "op9_near_dedup": _near_duplicates(),
+    "op12_phrase_collocations": _phrases(),
 }

@@ -14,7 +14,10 @@ from ledgerloom.llm.langid import fit_languages, predict_languages
 from ledgerloom.llm.license_dice import scan_licenses
 from ledgerloom.llm.odd_sketch_dedup import near_duplicates
 from ledgerloom.llm.oph_fingerprint import fingerprint_edits
+from ledgerloom.llm.phrase_automata import mine_phrases
 from ledgerloom.llm.piece_sampling import segmentation_digests
+from ledgerloom.llm.token_alignment import align_tokens
+from ledgerloom.llm.token_counts import count_tokens
 from ledgerloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -65,10 +68,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_html_extraction, op3_language_id, op4_piece_sampling, op5_sharding, op6_best_fit_packing,
         op7_quality_rules, op8_license_scan, op9_near_dedup, op10_fingerprints,
+        op11_token_counts, op12_phrase_collocations, op13_token_alignment,
     )
 }
