@@ -157,12 +157,14 @@ def _phrases() -> str:
     totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE words = 1 GROUP BY lang),
     candidates AS (
         SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE words >= 2 AND a >= {m.LEAST}),
-    cuts AS (SELECT *, unnest(range(1, words)) AS k FROM candidates),
+    cuts AS MATERIALIZED (
+        SELECT *, {first} AS first_part, {rest} AS rest_part
+        FROM (SELECT *, unnest(range(1, words)) AS k FROM candidates)),
     scored AS (
         SELECT c.lang, c.words, c.phrase, c.a, k, x.a AS l, y.a AS r,
             ({m.SCALE}::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
-        FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = {first}
-        JOIN counted y ON y.lang = c.lang AND y.phrase = {rest}),
+        FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = first_part
+        JOIN counted y ON y.lang = c.lang AND y.phrase = rest_part),
     best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
     inside AS (
         SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a
