@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerloom.llm import heads, phrase_automata, token_alignment
+from ledgerloom.llm import heads, phrase_automata, token_counts
 from ledgerloom.llm.phrase_automata import CountTransducer, mine_phrases
 from ledgerloom.llm.pretokens import encode_pieces, piece_model
 from ledgerloom.llm.token_alignment import align_tokens, gallop
@@ -60,6 +60,15 @@ def test_token_counts_equal_the_library(docs, spark):
         assert tuple(got[i]) == (i, len((t or "").encode()), want[i], want[i] > 20)
 
 
+def test_token_counts_do_not_depend_on_the_heads(docs, monkeypatch):
+    texts = _texts(120, seed=7) * 2
+    want = [len(i) for i in piece_model().sp.encode([t or "" for t in texts])]
+    for heads_kept in (0, 5, 1000):
+        monkeypatch.setattr(token_counts, "HEADS", heads_kept)
+        got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs(texts).repartition(3)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_sums_do_not_depend_on_the_heads(spark):
     rng = random.Random(3)
     cells = [(row, f"k{min(rng.randrange(50), rng.randrange(50))}", rng.randrange(5)) for row in range(40) for _ in range(30)]
