@@ -36,6 +36,7 @@ STRETCH = 500_000  # words counted at once
 SHARD, SHARD_WORDS = 2_000_000, 500_000  # arcs, and distinct words, beyond which a shard is sent
 RANGE_WORDS = 900_000  # distinct words beyond which a range is held in two parts
 SAMPLE_TEXTS, SAMPLE_KEYS, LONGEST_KEY = 4096, 20_000, 200
+RANK_PARTS = 64
 UNDETERMINED = "und"
 
 _BITS = 21
@@ -133,8 +134,15 @@ def _register(starts: np.ndarray, *arcs: np.ndarray) -> tuple[np.ndarray, np.nda
     for a in arcs:
         wrong[owner[mine[a[mine] != a[theirs]]]] = True
     stand[wrong] = np.flatnonzero(wrong)
-    stay = np.unique(stand)
-    return stay, np.searchsorted(stay, stand)
+    own = stand == np.arange(len(stand))
+    return np.flatnonzero(own), (np.cumsum(own) - 1)[stand]
+
+
+def _before(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place, and all of them."""
+    total = np.zeros(len(marked) + 1, np.int64)
+    np.cumsum(marked, out=total[1:])
+    return np.append(total[places], total[-1])
 
 
 def _chosen(starts: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,13 +174,13 @@ class CountTransducer:
         is_three = last > 0
         first, second, third = np.flatnonzero(new_one), np.flatnonzero(new_two), np.flatnonzero(is_three)
         # States after two words: their arcs are the third words.
-        at_three = np.append(np.searchsorted(third, second), len(third))
+        at_three = _before(is_three, second)
         stay, to_three = _register(at_three, last[third], counts[third])
         arcs, at_three = _chosen(at_three, stay)
         three = (last[third][arcs], counts[third][arcs])
         # States after one word.
         weight = np.where(is_three[second], 0, counts[second])
-        at_two = np.append(np.searchsorted(second, first), len(second))
+        at_two = _before(new_two, first)
         stay, to_two = _register(at_two, middle[second], weight, to_three)
         arcs, at_two = _chosen(at_two, stay)
         two = (middle[second][arcs], weight[arcs], to_three[arcs])
@@ -210,10 +218,11 @@ class CountTransducer:
 
     def _only(self, keys: np.ndarray, counts: np.ndarray) -> "CountTransducer":
         """A transducer of some of the n-grams, with the words they need."""
-        labels = np.unique(np.concatenate([keys >> 2 * _BITS, keys >> _BITS & _LOW, keys & _LOW]))
-        labels = labels[labels > 0]
-        new = np.zeros(len(self.symbols) + 1, np.int64)
-        new[labels] = np.arange(1, len(labels) + 1)
+        used = np.zeros(len(self.symbols) + 1, bool)
+        for shift in range(WORDS):
+            used[keys >> shift * _BITS & _LOW] = True
+        used[0] = False
+        labels, new = np.flatnonzero(used), np.cumsum(used) * used
         keys = new[keys >> 2 * _BITS] << 2 * _BITS | new[keys >> _BITS & _LOW] << _BITS | new[keys & _LOW]
         return CountTransducer.build(self.symbols.take(pa.array(labels - 1)), keys, counts)
 
@@ -584,10 +593,14 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     most = inside.groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     total = ngrams.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # A language's best are found in RANK_PARTS parts first, so that its one task ranks at most RANK_PARTS * top rows.
+    some = F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))
     return (
         best.join(most, ["lang", "phrase"], "left")
         .filter(F.col("_longer").isNull() | (F.col("_longer") * 100 < F.col("a") * share))
         .select("lang", "phrase", "a", "_b.l", "_b.r", "_b.score")
+        .withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+        .withColumn("_some", some).filter(F.col("_some") <= top)
         .withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
         .join(total, "lang")
         .select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
