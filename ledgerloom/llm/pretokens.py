@@ -2,7 +2,8 @@
 
 The model writes a blank as U+2581 and puts one before every text.  A pre-token is a run of blanks with the other
 characters up to the next blank: no piece of the model has a blank after another character.  Long pre-tokens (scripts
-without blanks, addresses, letter noise) are also cut between two characters that stand beside each other in no piece.
+without blanks, addresses, letter noise) are also cut between two characters that stand beside each other in no piece;
+with ``long=0`` all are, which leaves fewer distinct ones.
 Pieces of a pre-token alone are therefore the pieces it has inside its text.
 """
 
@@ -19,6 +20,7 @@ from ledgerloom.llm.textnum import text_bytes
 
 BLANK = "▁"
 LONG = 40  # bytes above which a pre-token is cut between characters too
+COMMON = 1024  # code points whose pairs are looked up in a table
 
 
 def model_path(path: str | None) -> str:
@@ -45,6 +47,9 @@ class PieceModel:
         self.size = np.array([len(p.encode()) if ok else 1 for p, ok in zip(pieces, plain)], np.int64)
         beside = {(ord(a) << 21) | ord(b) for p, ok in zip(pieces, plain) if ok for a, b in zip(p, p[1:])}
         self.beside = np.array(sorted(beside), np.int64)
+        self.common = np.zeros((COMMON, COMMON), bool)
+        near = self.beside[(self.beside >> 21 < COMMON) & (self.beside & (1 << 21) - 1 < COMMON)]
+        self.common[near >> 21, near & (1 << 21) - 1] = True
 
     def ids(self, tokens: list[str]) -> list[list[int]]:
         """Piece ids of pre-tokens as they are inside a text.
@@ -64,7 +69,7 @@ def piece_model(path: str | None = None) -> PieceModel:
     return PieceModel(path)
 
 
-def pretokens(texts: pa.Array, model: PieceModel) -> tuple[pa.Array, np.ndarray]:
+def pretokens(texts: pa.Array, model: PieceModel, long: int = LONG) -> tuple[pa.Array, np.ndarray]:
     """All pre-tokens of (large-string, not null) texts in order, and where each text's begin (with the end)."""
     large = pa.large_string()
     texts = pc.replace_substring(texts, BLANK, " ")
@@ -77,25 +82,28 @@ def pretokens(texts: pa.Array, model: PieceModel) -> tuple[pa.Array, np.ndarray]
     first[1:] &= ~blank[:-1]
     first[ends[:-1][ends[:-1] < len(data)]] = True
     starts = np.append(np.flatnonzero(first), len(data))
-    far = np.flatnonzero(np.diff(starts) > LONG)
+    far = np.flatnonzero(np.diff(starts) > long)
     if len(far):
-        more = _inner_cuts(data, starts[far], starts[far + 1], model.beside)
+        more = _inner_cuts(data, starts[far], starts[far + 1], model)
         starts = np.union1d(starts, more)
     offsets = pa.py_buffer(starts.astype(np.int64))
     tokens = pa.Array.from_buffers(large, len(starts) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
     return tokens, np.searchsorted(starts, ends)
 
 
-def _inner_cuts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, beside: np.ndarray) -> np.ndarray:
+def _inner_cuts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, model: PieceModel) -> np.ndarray:
     """Byte places inside the stretches between two characters that no piece has beside each other."""
     size = end - begin
     base = np.cumsum(size) - size
     at = np.arange(size.sum()) + np.repeat(begin - base, size)
     part = data[at]
-    chars = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    chars = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)
     place = at[(part & 0xC0) != 0x80]  # of each character's first byte
-    pair = (chars[:-1] << 21) | chars[1:]
-    found = beside[np.minimum(np.searchsorted(beside, pair), len(beside) - 1)] == pair
+    small = np.minimum(chars, COMMON - 1)
+    found = model.common[small[:-1], small[1:]]
+    rare = np.flatnonzero(np.maximum(chars[:-1], chars[1:]) >= COMMON - 1)
+    pair = chars[rare].astype(np.int64) << 21 | chars[rare + 1]
+    found[rare] = model.beside[np.minimum(np.searchsorted(model.beside, pair), len(model.beside) - 1)] == pair
     return place[1:][~found]
 
 

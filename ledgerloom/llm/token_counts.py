@@ -26,7 +26,7 @@ from ledgerloom.llm.textnum import blocks, need_columns, ready_for_python
 from ledgerloom.storage import materialize
 
 LIMIT = 4096
-SAMPLE_TEXTS, HEADS, HEAD_BYTES = 4096, 50_000, 64
+SAMPLE_TEXTS, HEADS, HEAD_BYTES = 4096, 100_000, 64
 FREQUENCIES = "struct<known:bigint,rest:array<struct<t:string,c:bigint>>>"
 
 
@@ -45,7 +45,7 @@ def frequencies_of(heads: tuple[list[str], list[int]] = ([], []), path: str | No
 
 
 def _frequencies(texts: pa.Array, heads: pa.Array, head_size: np.ndarray, path: str | None) -> pa.Array:
-    tokens, starts = pretokens(texts, piece_model(path))
+    tokens, starts = pretokens(texts, piece_model(path), long=0)
     coded = tokens.dictionary_encode()
     rows = np.repeat(np.arange(len(texts)), np.diff(starts))
     codes = coded.indices.to_numpy()
