@@ -13,6 +13,9 @@ How links are found without emitting the pairs of a group:
    there, each pair once.  Sketch, then full sets, confirm.  Nothing is capped: a group that is already joined costs
    nothing.
 
+Sets of different size cannot be similar: before sketches are fetched, a pair's sizes must be within the similarity; in
+step 3 classes also meet by size class, so that a bucket of texts of all lengths is not compared in full.
+
 Recall: two sets of similarity 0.75 share no bucket with probability (1 - 0.75**4)**32 = 5e-6, less above.  The sketch
 test leaves a margin of four standard errors (a link of exactly 0.75 passes with probability 0.99997, others more).  Shingles are compared as 64-bit hashes.
 """
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.textnum import blocks, ready_for_python, mix, need_columns, row_starts, shingles, word_hashes
@@ -154,20 +158,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return joined.filter(F.col("_both") * 100 >= union * similarity).select("u", "v").distinct()
 
 
+def _size_fits(a: str, b: str, similarity: int) -> Column:
+    """Sets of these sizes can reach the similarity: the smaller one holds that share of the larger."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
+
+
+def _size_class(n: str, similarity: int) -> Column:
+    """Sizes that fit each other lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.col(n)) / F.lit(math.log(100 / similarity)) + F.lit(1e-9)).cast("int")
+
+
 def _main_groups(grouped: DataFrame, turn: int) -> DataFrame:
     """Per bucket (key) with several groups: its largest group and one member of it, another one each turn."""
-    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
     by_group = grouped.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_n"), F.min(drawn).alias("_head"))
     best = F.max(F.struct("_n", "comp", "_head"))
     return (
         by_group.groupBy("key").agg(best.alias("_m"), F.count(F.lit(1)).alias("_groups")).filter("_groups > 1")
-        .select("key", F.col("_m.comp").alias("main"), F.col("_m._head.node").alias("head"))
+        .select("key", F.col("_m.comp").alias("main"), F.col("_m._head.node").alias("head"), F.col("_m._head.n").alias("head_n"))
     )
 
 
-def _likeliest(grouped: DataFrame, sketches: DataFrame, floor: float, turn: int) -> DataFrame:
+def _likeliest(grouped: DataFrame, sketches: DataFrame, floor: float, turn: int, similarity: int) -> DataFrame:
     """For each class outside a bucket's largest group the likeliest of the members it meets: pairs (u, v)."""
-    met = grouped.join(_main_groups(grouped, turn), "key").filter("comp <> main")
+    met = grouped.join(_main_groups(grouped, turn), "key").filter("comp <> main").filter(_size_fits("n", "head_n", similarity))
     pairs = met.select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     rated = (
         pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("_a")), "u")
@@ -199,10 +213,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     )
     reps = materialize(
         with_words.join(node, (with_words.doc_id == node.node) & (with_words.a == node.a) & (with_words.b == node.b))
-        .select("node", "bands", "sketch").dropDuplicates(["node", "bands"]),
+        .select("node", "n", "bands", "sketch").dropDuplicates(["node", "bands"]),
         "representatives",
     )
-    keyed = reps.select("node", F.explode("bands").alias("key"))
+    keyed = reps.select("node", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key")
     met = materialize(keyed.join(shared, "key"), "met")
     sets = materialize(
@@ -217,29 +231,35 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     links = None
     grouped = met.withColumn("comp", F.col("node"))
     for turn in range(ROUNDS):
-        found = materialize(_confirmed(_likeliest(grouped, sketches, floor, turn), sets, similarity), "links")
+        found = materialize(_confirmed(_likeliest(grouped, sketches, floor, turn, similarity), sets, similarity), "links")
         links = found if links is None else links.unionByName(found)
         first = connected_components(links)
         grouped = materialize(
             met.join(first, met["node"] == first["node"], "left")
-            .select("key", met["node"], F.coalesce("component", met["node"]).alias("comp")),
+            .select("key", met["node"], "n", F.coalesce("component", met["node"]).alias("comp")),
             "grouped",
         )
     # 3. Buckets that still hold several groups.
     open_ = materialize(
-        grouped.join(_main_groups(grouped, ROUNDS), "key").join(reps, "node").distinct(), "open"
+        grouped.join(_main_groups(grouped, ROUNDS), "key").select("key", "node", "comp", "main")
+        .join(reps, "node").withColumn("_class", _size_class("n", similarity)).distinct(),
+        "open",
     )
+    near = F.explode(F.array(*[F.col("_class") + d for d in (-1, 0, 1)])).alias("_near")
     left = open_.filter("comp <> main").select(
-        "key", F.col("node").alias("u"), F.col("comp").alias("_cu"), F.col("sketch").alias("_a"), F.col("bands").alias("_ba")
+        "key", F.col("node").alias("u"), F.col("comp").alias("_cu"), F.col("sketch").alias("_a"), F.col("bands").alias("_ba"),
+        F.col("n").alias("_nu"), near,
     )
     right = open_.select(
+        F.col("n").alias("_nv"), "_class",
         F.col("key").alias("_key"), F.col("node").alias("v"), F.col("comp").alias("_cv"), F.col("sketch").alias("_b"),
         F.col("bands").alias("_bb"), (F.col("comp") == F.col("main")).alias("_main"),
     )
     same = F.filter(F.zip_with("_ba", "_bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     across = left.join(
         right,
-        (F.col("key") == F.col("_key")) & (F.col("_cu") != F.col("_cv")) & (F.col("_main") | (F.col("u") < F.col("v")))
+        (F.col("key") == F.col("_key")) & (F.col("_near") == F.col("_class")) & _size_fits("_nu", "_nv", similarity)
+        & (F.col("_cu") != F.col("_cv")) & (F.col("_main") | (F.col("u") < F.col("v")))
         & (estimate(F.col("_a"), F.col("_b")) >= floor)
         & (F.get(same, F.lit(0)) == F.col("key")),  # a pair comes out of the first bucket it shares only
     ).select("u", "v").distinct()
@@ -266,38 +286,49 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     )
 
 
+def _unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer form of it that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _quoted(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest ``doc_id``; the columns stay as they are.
+    """``docs`` with one document of each group: the one with the smallest ``doc_id``; all columns stay as they are.
 
     Where a ``doc_id`` repeats with other texts, each text is a document of its own (the smallest of near copies under
-    one id stays), but a null one beside a text is dropped.  Of rows that repeat id and text one stays.  Rows without
-    ``doc_id`` stay.
+    one id stays), but a null one beside a text is dropped.  Of rows that repeat id and text one stays, the same in every
+    run unless all their columns print alike.  Rows without ``doc_id`` stay.  Empty tables stay empty.
     """
     need_columns(docs, "doc_id", "text")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     with_id = docs.filter("doc_id is not null")
     key = F.col("doc_id").cast("bigint")
+    keep_id, keep_text, told_id, nth = (_unused(docs.columns, n) for n in ("_keep", "_text", "_told", "_nth"))
+    slim = with_id.select(key.alias("_id"), "text")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    several = with_id.groupBy(key.alias("_id")).agg(F.min(text_hash).alias("_a"), F.max(text_hash).alias("_b")).filter("_a < _b")
+    several = slim.groupBy("_id").agg(F.min(text_hash).alias("_a"), F.max(text_hash).alias("_b")).filter("_a < _b")
     if several.isEmpty():
-        decided = near_duplicates(docs, similarity)
-        keep = decided.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
-        left = with_id.join(keep, key == F.col("_keep"), "left_semi")
+        decided = near_duplicates(slim.withColumnRenamed("_id", "doc_id"), similarity)
+        keep = decided.filter("kept and doc_id is not null").select(F.col("doc_id").alias(keep_id)).distinct()
+        left = with_id.join(keep, key == F.col(keep_id), "left_semi")
     else:
-        pairs = with_id.select(key.alias("_id"), "text").distinct()
         numbered = materialize(
-            number_rows(pairs, [F.col("_id").asc(), F.col("text").asc_nulls_last()], name="_n"), "numbered"
+            number_rows(slim.distinct(), [F.col("_id").asc(), F.col("text").asc_nulls_last()], name="_n"), "numbered"
         )
         decided = near_duplicates(numbered.select(F.col("_n").alias("doc_id"), "text"), similarity)
         keep = numbered.join(decided.filter("kept").select(F.col("doc_id").alias("_n")), "_n", "left_semi")
-        texts = keep.select(F.col("_id").alias("_keep"), F.col("text").alias("_text"))
-        told = with_id.filter("text is not null").select(key.alias("_told")).distinct()
-        left = with_id.join(texts, (key == F.col("_keep")) & F.col("text").eqNullSafe(F.col("_text")), "left_semi")
+        texts = keep.select(F.col("_id").alias(keep_id), F.col("text").alias(keep_text))
+        told = slim.filter("text is not null").select(F.col("_id").alias(told_id)).distinct()
+        left = with_id.join(texts, (key == F.col(keep_id)) & F.col("text").eqNullSafe(F.col(keep_text)), "left_semi")
         left = left.filter("text is not null").unionByName(
-            left.filter("text is null").join(told, key == F.col("_told"), "left_anti")
+            left.filter("text is null").join(told, key == F.col(told_id), "left_anti")
         )
-    one = (
-        left.groupBy("doc_id", "text").agg(F.min(F.struct("text", *others)).alias("_row"))
-        .select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_row.{c}").alias(c) for c in docs.columns])
-    )
+    # Spark keeps the first row of a window per task before the shuffle, so a row repeated very often is no hot key.
+    printed = F.xxhash64(*[_quoted(c).cast("string") for c in docs.columns])
+    first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(printed))
+    one = left.select("*", first.alias(nth)).filter(F.col(nth) == 1).select(*map(_quoted, docs.columns))
     return one.unionByName(docs.filter("doc_id is null"))
