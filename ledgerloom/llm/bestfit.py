@@ -29,8 +29,9 @@ from ledgerloom.storage import materialize
 
 CAPACITY = 2048
 END_ID = 0
+MARK, MARK_ID = "<|endoftext|>", 50256  # fixed values of the vocabulary
 BUCKET_PIECES = 100_000
-TOKENIZE_BYTES = 12 << 20
+TOKENIZE_BYTES = 4 << 20
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -38,7 +39,7 @@ PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 # distinct chunk is tokenized once.  Texts with other space around a blank, or with START, are tokenized whole.
 START = "\x01"
 _UNSAFE = r"[\t\n\v\f\r\x1c-\x1f\x{85}\p{Z}] |\x01"
-CHUNKS = 400_000
+CHUNKS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -119,10 +120,25 @@ def _merge(first: np.ndarray, second: np.ndarray, counts: np.ndarray, is_first:
     return out
 
 
-def encode_texts(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all (large-string, not null) texts, each followed by END_ID, and where each begins (with the end)."""
+def _encode_whole(text: str, path: str | None, marks: bool) -> list[int]:
+    bpe = byte_bpe(path)[0]
+    if not marks:
+        return bpe.encode_ordinary(text)
+    ids: list[int] = []
+    for k, part in enumerate(text.split(MARK)):
+        ids += ([MARK_ID] if k else []) + bpe.encode_ordinary(part)
+    return ids
+
+
+def encode_texts(texts: pa.Array, path: str | None = None, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all (large-string, not null) texts, each followed by END_ID, and where each begins (with the end).
+
+    With ``marks`` the vocabulary's special token, spelled out in a text, is that one token, as its tokenizer takes it when
+    loaded; without, its letters are ordinary text.
+    """
     large = pa.large_string()
-    safe = pc.invert(pc.match_substring_regex(texts, _UNSAFE))
+    unsafe = pc.match_substring_regex(texts, _UNSAFE)
+    safe = pc.invert(pc.or_(unsafe, pc.match_substring(texts, MARK)) if marks else unsafe)
     cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(START, large), texts.filter(safe), pa.scalar("", large)), " ")
     words = pc.list_value_length(cut).to_numpy()
     coded = cut.flatten().dictionary_encode()
@@ -136,7 +152,7 @@ def encode_texts(texts: pa.Array, path: str | None = None) -> tuple[np.ndarray,
     step = np.arange(ends[-1])
     inner[step + shift] = ids[step + np.repeat(begin - ends[:-1], size)]
     is_safe = safe.to_numpy(zero_copy_only=False)
-    whole = [byte_bpe(path)[0].encode_ordinary(t) + [END_ID] for t in texts.filter(pc.invert(safe)).to_pylist()]
+    whole = [_encode_whole(t, path, marks) + [END_ID] for t in texts.filter(pc.invert(safe)).to_pylist()]
     counts = np.empty(len(texts), np.int64)
     counts[is_safe] = np.diff(ends[np.concatenate([[0], np.cumsum(words)])]) + 1
     counts[~is_safe] = [len(w) for w in whole]
@@ -159,7 +175,7 @@ def token_pieces(path: str | None = None, capacity: int = CAPACITY):
         for batch in batches:
             out = []
             for block in blocks(batch, TOKENIZE_BYTES):
-                ids, starts = encode_texts(block, path)
+                ids, starts = encode_texts(block, path, marks=True)
                 rows, ends = [], [0]
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                     for k, (s, n) in enumerate(cuts(b - a, capacity)):

@@ -92,18 +92,21 @@ def _tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_chunked_tokens_equal_the_tokenizer(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice(" \n\tabc'sé中😀\x1c\x85\x01.,!?09\r") for _ in range(rng.randint(0, 50))) for _ in range(800)]
-    texts += [r["text"] for r in _real(spark).limit(40).collect()] + ["", " ", "<|endoftext|> a"]
-    ids, starts = bestfit.encode_texts(pa.array(texts, pa.large_string()))
-    for i, e in enumerate(_tokenizer().encode_batch(texts, add_special_tokens=False)):
-        assert ids[starts[i] : starts[i + 1]].tolist() == e.ids + [bestfit.END_ID]
+    marked = ["".join(rng.choice(["<|endoftext|>", " ", "a b", "  ", "\n", "<|", "text|>", "\x85", "é"]) for _ in range(9)) for _ in range(800)]
+    texts += [r["text"] for r in _real(spark).limit(40).collect()] + ["", " ", "<|endoftext|> a", *marked]
+    ids, starts = bestfit.encode_texts(pa.array(texts, pa.large_string()), marks=True)
+    plain, begin = bestfit.encode_texts(pa.array(texts, pa.large_string()))
+    loaded, spelled = _tokenizer(), _tokenizer()
+    spelled.encode_special_tokens = True
+    for i, t in enumerate(texts):
+        assert ids[starts[i] : starts[i + 1]].tolist() == loaded.encode(t, add_special_tokens=False).ids + [bestfit.END_ID]
+        assert plain[begin[i] : begin[i + 1]].tolist() == spelled.encode(t, add_special_tokens=False).ids + [bestfit.END_ID]
 
 
 def test_packing_covers_every_token(spark):
