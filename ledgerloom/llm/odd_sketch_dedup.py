@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ledgerloom.llm.components import connected_components
+from ledgerloom.llm.components import merge_components
 from ledgerloom.llm.textnum import blocks, ready_for_python, mix, need_columns, row_starts, shingles, word_hashes
 from ledgerloom.operators.ordered import number_rows
 from ledgerloom.storage import materialize
@@ -228,17 +228,11 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     floor = similarity / 100.0 - sketch_margin(similarity / 100.0)
     sketches = reps.select("node", "sketch")
     # 2. Rounds in which a class meets one member of each bucket's largest group and keeps the likeliest.
-    links = None
     grouped = met.withColumn("comp", F.col("node"))
+    roots = node.select("node", F.col("node").alias("comp"))
     for turn in range(ROUNDS):
-        found = materialize(_confirmed(_likeliest(grouped, sketches, floor, turn, similarity), sets, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        first = connected_components(links)
-        grouped = materialize(
-            met.join(first, met["node"] == first["node"], "left")
-            .select("key", met["node"], "n", F.coalesce("component", met["node"]).alias("comp")),
-            "grouped",
-        )
+        roots = merge_components(roots, _confirmed(_likeliest(grouped, sketches, floor, turn, similarity), sets, similarity))
+        grouped = met.join(roots, "node")
     # 3. Buckets that still hold several groups.
     open_ = materialize(
         grouped.join(_main_groups(grouped, ROUNDS), "key").select("key", "node", "comp", "main")
@@ -272,8 +266,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     ties = (
         members.join(repeated.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")).filter("u <> v")
     )
-    groups = connected_components(links.unionByName(more).unionByName(ties))
-    roots = node.join(groups, "node", "left").select("a", "b", F.coalesce("component", "node").alias("_root"))
+    groups = merge_components(roots, more.unionByName(ties))
+    roots = node.join(groups, "node").select("a", "b", F.col("comp").alias("_root"))
     done = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("a")).alias("a"), "b").join(
         roots, ["a", "b"], "left"
     )
