@@ -79,6 +79,33 @@ def derive_calendar(df: DataFrame, date: str = "order_date", raw: str | None = N
     return df.withColumns({"year": year, "month": month, "ym": ym})
 
 
+def report_calendar(
+    df: DataFrame, date: str = "order_date", raw: str | None = None, fallback: str = "none", run_month: str | None = None
+) -> DataFrame:
+    """B8 and A7 together: the month of a row from its date, else from the ROC text in ``raw``; and where these fail, by
+    ``fallback``: ``none``; ``rows`` takes the month of the file name, else ``run_month`` (by default the current one), for
+    each row without a month; ``table`` does so only when no row of the table has one.
+
+    A table without the date column has no dates.  The switch of ``table`` is a value inside the plan.
+    """
+    if fallback not in ("none", "rows", "table"):
+        raise ValueError("fallback is 'none', 'rows' or 'table'")
+    if date not in df.columns:
+        df = df.withColumn(date, F.lit(None).cast("date"))
+    dated = derive_calendar(df, date, raw if raw in df.columns else None)
+    if fallback == "none":
+        return dated
+    stamped = names.period_fallback(F.col(SOURCE_FILE)) if run_month is None else F.coalesce(
+        names.period_in_name(F.col(SOURCE_FILE)), F.lit(run_month)
+    )
+    acts = F.lit(True)
+    if fallback == "table":
+        acts = dated.agg(F.count("ym") == 0).scalar()
+    ym = F.coalesce("ym", F.when(acts, stamped))
+    year, month = F.substring(ym, 1, 4).try_cast("int"), F.substring(ym, 6, 2).try_cast("int")
+    return dated.withColumns({"year": F.coalesce("year", year), "month": F.coalesce("month", month), "ym": ym})
+
+
 def apply_period_fallback(df: DataFrame) -> DataFrame:
     """Month from the file name for rows whose date gives none."""
     return df.withColumn("ym", F.coalesce("ym", names.period_fallback(F.col(SOURCE_FILE))))

@@ -13,6 +13,7 @@ from ledgerloom.schema import LINE_COLUMNS, ORDER_COLUMNS, PERIOD, ROW_NO, SOURC
 from ledgerloom.storage import broadcast_if_small, materialize
 
 _CALENDAR = ("year", "month", "ym")
+_SPLIT_COLUMNS = ("product_code", "product_name", "quantity", "unit_price", "subtotal")
 
 
 def mark_headers(df: DataFrame) -> DataFrame:
@@ -38,54 +39,51 @@ def fill_by_order_id(
 ) -> DataFrame:
     """As C2, but rows of the same order number in a file share their values.
 
-    A second header of the same order inherits what it leaves blank.  Rows before the
-    first header belong to no order and get nulls.  Whether any order does have a second
-    header is looked up first, on the header rows alone; usually none has, and the fill
-    from header to header is all there is to do.
+    A second header of the same order inherits what it leaves blank.  Rows before the first header belong to no order and
+    get nulls.  What a header inherits is found on the rows that bring values of their own alone (headers, few lines);
+    with it the headers are completed, and one fill from header to header does all rows.
     """
     columns = present(df, ORDER_COLUMNS) if columns is None else list(columns)
-    valued = F.lit(False)
-    for c in columns:
-        valued = valued | F.col(c).isNotNull()
-    runs = forward_fill(
-        df.withColumns({"_order": F.col("order_no"), "_valued": valued}), [*columns, "_order"],
-        reset=F.col("order_no").isNotNull(), reset_position="_head", bucket_rows=bucket_rows,
+    header = F.col("order_no").isNotNull()
+    inherited = _inherited_by_headers(df, columns, bucket_rows)
+    headers = df.filter(header).join(broadcast_if_small(inherited), [SOURCE_FILE, ROW_NO], "left").select(*[
+        F.coalesce(F.col(c), F.col(f"_earlier_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns
+    ])
+    filled = forward_fill(
+        headers.unionByName(df.filter(~header)).withColumn("_order", F.col("order_no")), [*columns, "_order"],
+        reset=header, bucket_rows=bucket_rows,
     )
-    repeated = repeated_orders(df)
-    if repeated.isEmpty():
-        filled = runs
-    else:
-        earlier = _earlier_runs(runs, repeated, columns, bucket_rows)
-        filled = runs.join(broadcast_if_small(earlier), [SOURCE_FILE, "_head"], "left").withColumns(
-            {c: F.coalesce(F.col(c), F.col(f"_earlier_{c}")) for c in columns}
-        )
     return filled.select(*[
         F.when(F.col("_order").isNotNull(), F.col(c)).alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])
 
 
-def _earlier_runs(
-    runs: DataFrame, repeated: DataFrame, columns: Sequence[str], bucket_rows: int
-) -> DataFrame:
-    """What each run of a repeated order inherits from that order's runs above it.
+def _inherited_by_headers(df: DataFrame, columns: Sequence[str], bucket_rows: int) -> DataFrame:
+    """Per header of a repeated order (file, row number) the last values of that order's runs above it.
 
-    A run is a header with the rows up to the next header.  Its last row that brings a
-    value of its own carries, already filled, all last values of the run.  The small table
-    of runs is written once, as three steps of the next fill read it.
+    A run is a header with the rows up to the next header.  Only rows with a value of their own can be the last to bring
+    one; a fill over those gives each run's last values, and a fill over the runs of each order what the next inherits.
+    Written once: it is small, and the steps of the fill over all rows read it several times.
     """
+    valued = F.col("order_no").isNotNull()
+    for c in columns:
+        valued = valued | F.col(c).isNotNull()
+    carried = forward_fill(
+        df.filter(valued).select(SOURCE_FILE, ROW_NO, *dict.fromkeys(["order_no", *columns])).withColumn("_order", F.col("order_no")),
+        [*columns, "_order"], reset=F.col("order_no").isNotNull(), reset_position="_head", bucket_rows=bucket_rows,
+    )
     keys = [SOURCE_FILE, "_order"]
-    wanted = repeated.select(SOURCE_FILE, F.col("order_no").alias("_order"))
     last = F.max(F.struct(ROW_NO, *columns)).alias("_last")
     ends = (
-        runs.filter("_valued").join(wanted, keys, "left_semi").groupBy(*keys, "_head").agg(last)
+        carried.filter("_order is not null").groupBy(*keys, "_head").agg(last)
         .select(*keys, "_head", *[F.col("_last")[c].alias(c) for c in columns])
     )
+    several = repeated_orders(df).select(SOURCE_FILE, F.col("order_no").alias("_order"))
     above = forward_fill(
-        materialize(ends, "runs"), columns, keys=keys, order_by="_head",
-        bucket_rows=bucket_rows, only_above=True,
+        materialize(ends.join(several, keys, "left_semi"), "runs"), columns, keys=keys, order_by="_head", bucket_rows=bucket_rows, only_above=True,
     )
-    return above.select(SOURCE_FILE, "_head", *[F.col(c).alias(f"_earlier_{c}") for c in columns])
+    return above.select(SOURCE_FILE, F.col("_head").alias(ROW_NO), *[F.col(c).alias(f"_earlier_{c}") for c in columns])
 
 
 def repeated_orders(df: DataFrame) -> DataFrame:
@@ -116,7 +114,7 @@ def split_rule(df: DataFrame) -> DataFrame:
     column filled in only some rows, provided the number of orders is within 10 % of
     the rows of the order rows seen; otherwise ``first_row`` of every order.
     """
-    checked = present(df, ("product_code", "product_name", "quantity", "unit_price", "subtotal"))
+    checked = present(df, _SPLIT_COLUMNS)
     facts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("order_no").alias("order_rows"),
@@ -141,11 +139,13 @@ def split_levels(
 ) -> tuple[DataFrame, DataFrame]:
     """C4: orders table and lines table.
 
-    ``rule`` is one of the values of :func:`split_rule`; without it the header mark of
-    C1 decides.  With ``header_products='keep'`` every row that carries a product is a
-    line, also a header row; ``'drop'`` takes non-header rows only.
+    ``rule`` is one of the values of :func:`split_rule`, or ``auto``: the table's own rule is then a value inside the plan, and
+    no job runs before a table is read.  Without a rule the header mark of C1 decides.  With ``header_products='keep'``
+    every row that carries a product is a line, also a header row; ``'drop'`` takes non-header rows only.
     """
-    if "is_header" in df.columns and rule is None:
+    if rule == "auto":
+        marked = _mark_by_own_rule(df)
+    elif "is_header" in df.columns and rule is None:
         marked = df
     elif rule in (None, "header"):
         marked = mark_headers(df)
@@ -166,6 +166,17 @@ def split_levels(
     return orders, lines
 
 
+def _mark_by_own_rule(df: DataFrame) -> DataFrame:
+    """Header mark after the rule that :func:`split_rule` finds, without knowing it while the plan is built."""
+    rule = split_rule(df).select("rule").scalar()
+    by_column = F.lit(False)
+    for c in present(df, _SPLIT_COLUMNS):
+        by_column = by_column | ((rule == c) & F.col(c).isNull())
+    marked = _mark_first_rows(df.drop("is_header"))
+    own = F.when(rule == "header", F.col("order_no").isNotNull()).when(rule == "first_row", F.col("is_header"))
+    return marked.withColumn("is_header", F.coalesce(own, by_column))
+
+
 def _mark_first_rows(df: DataFrame) -> DataFrame:
     """Header mark on the first row of every order number, by joining positions back."""
     firsts = (

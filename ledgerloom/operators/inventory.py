@@ -16,15 +16,14 @@ from ledgerloom.functions.numbers import sum_or_zero, try_ratio
 from ledgerloom.operators.cleaning import fill_defaults
 from ledgerloom.operators.ordered import number_rows
 from ledgerloom.operators.products import period_columns, pivot_months, product_totals
-from ledgerloom.schema import PERIOD, ROW_NO, present
+from ledgerloom.schema import PERIOD, ROW_NO, SOURCE_FILE, present
 
 
 def latest_per_sku(inventory: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per product code: the last one wins when a code is repeated."""
+    """One row per product code: the last one wins when a code is repeated, also across snapshots (by name)."""
     known = inventory.filter(F.col("product_code").isNotNull())
-    return known.groupBy("product_code").agg(
-        *[F.max_by(c, ROW_NO).alias(c) for c in columns]
-    )
+    place = F.struct(*present(inventory, (SOURCE_FILE, ROW_NO)))
+    return known.groupBy("product_code").agg(*[F.max_by(c, place).alias(c) for c in columns])
 
 
 def _lookup(
@@ -45,13 +44,13 @@ def _lookup(
 
 def add_stock(summary: DataFrame, inventory: DataFrame) -> DataFrame:
     """stock on hand per product, 0 when the product is not in the inventory."""
-    stock = inventory.select("product_code", F.col("on_hand").alias("stock"), ROW_NO)
+    stock = inventory.select("product_code", F.col("on_hand").alias("stock"), *present(inventory, (SOURCE_FILE, ROW_NO)))
     return fill_defaults(_lookup(summary, stock, ["stock"], "last"))
 
 
 def compare_stock(summary: DataFrame, inventory: DataFrame, on_duplicate: str = "last") -> DataFrame:
     """stock next to quantity sold, and their difference."""
-    stock = inventory.select("product_code", F.col("on_hand").alias("stock"), ROW_NO)
+    stock = inventory.select("product_code", F.col("on_hand").alias("stock"), *present(inventory, (SOURCE_FILE, ROW_NO)))
     joined = fill_defaults(_lookup(summary, stock, ["stock"], on_duplicate))
     return joined.withColumn("stock_diff", F.col("stock") - F.col("quantity"))
 
@@ -70,7 +69,7 @@ def compare_totals(compared: DataFrame) -> DataFrame:
 
 def add_vendor(ranked: DataFrame, inventory: DataFrame, on_duplicate: str = "last") -> DataFrame:
     """stock and vendor per product, 0 and ``N/A`` when unknown."""
-    found = inventory.select("product_code", F.col("on_hand").alias("stock"), "vendor_short", ROW_NO)
+    found = inventory.select("product_code", F.col("on_hand").alias("stock"), "vendor_short", *present(inventory, (SOURCE_FILE, ROW_NO)))
     return fill_defaults(_lookup(ranked, found, ["stock", "vendor_short"], on_duplicate))
 
 
@@ -148,7 +147,7 @@ def inventory_with_period_sales(
 
 
 def sku_sales(
-    inventory: DataFrame, lines: DataFrame, months: Sequence[str] = (), on_duplicate: str = "last"
+    inventory: DataFrame, lines: DataFrame, months: Sequence[str] | None = (), on_duplicate: str = "last"
 ) -> DataFrame:
     """Every SKU with stock, vendor, quantity and amount sold, and month columns."""
     columns = ["product_name", "stock", "vendor_short"]
@@ -166,9 +165,9 @@ def sku_sales(
 
 
 def all_sku_sales(
-    inventory: DataFrame, lines: DataFrame, months: Sequence[str] = (), on_duplicate: str = "last"
+    inventory: DataFrame, lines: DataFrame, months: Sequence[str] | None = None, on_duplicate: str = "last"
 ) -> DataFrame:
-    """:func:`sku_sales` with rank 1..n by amount over the whole inventory."""
+    """:func:`sku_sales` with rank 1..n by amount over the whole inventory, by default with all months."""
     table = sku_sales(inventory, lines, months, on_duplicate)
     return number_rows(table, [F.desc("sales_amount"), F.asc("product_code"), F.asc("stock")])
 

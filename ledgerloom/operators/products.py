@@ -17,6 +17,7 @@ from ledgerloom.functions.numbers import sum_or_zero, unit_price_by_qty
 from ledgerloom.operators.filters import filter_product
 from ledgerloom.operators.ordered import number_rows
 from ledgerloom.schema import PERIOD, ROW_NO, SOURCE_FILE, present
+from ledgerloom.storage import materialize
 
 _SUMS = ("quantity", "subtotal", "cost_value")
 _TEXTS = ("product_name", "unit")
@@ -116,20 +117,47 @@ def order_period_columns(df: DataFrame, periods: Sequence[str], style: str = "sa
     return df.select(*[F.col(f"`{c}`") for c in shown])
 
 
+def month_totals(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sparse form of month columns: quantity and amount per key and month that has any."""
+    return _known(lines, keys).groupBy(*keys, "ym").agg(
+        sum_or_zero(F.col("quantity")).alias("quantity"), sum_or_zero(F.col("subtotal")).alias("subtotal")
+    )
+
+
+def months_in(totals: DataFrame) -> list[str]:
+    """All months of a table, in order; more columns than ``spark.sql.pivotMaxValues`` allows are an error."""
+    most = int(totals.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = totals.select("ym").dropna().distinct().limit(most + 1).collect()
+    if 2 * len(found) > most:
+        raise ValueError(f"more than {most // 2} months; name the months, or use month_totals")
+    return sorted(r["ym"] for r in found)
+
+
+def _sparse(lines: DataFrame, keys: Sequence[str], months: Sequence[str] | None) -> tuple[DataFrame, Sequence[str]]:
+    """Month totals and the months to show; written once where the months are to be found in them."""
+    totals = month_totals(lines, keys)
+    if months is not None:
+        return totals, months
+    totals = materialize(totals, "months")
+    return totals, months_in(totals)
+
+
 def pivot_months(
-    lines: DataFrame, months: Sequence[str], keys: Sequence[str] = ("product_code", "product_name")
+    lines: DataFrame, months: Sequence[str] | None = None, keys: Sequence[str] = ("product_code", "product_name")
 ) -> DataFrame:
-    """Quantity and amount per key and listed month, 0 where there is none."""
-    return _known(lines, keys).groupBy(*keys).agg(*period_sums(months, "ym"))
+    """Quantity and amount per key and month (by default every month of the lines), 0 where there is none."""
+    totals, months = _sparse(lines, keys, months)
+    return totals.groupBy(*keys).agg(*period_sums(months, "ym"))
 
 
 def attach_months(ranked: DataFrame, pivot: DataFrame) -> DataFrame:
     """month columns joined to ranked products, 0 where a product has no month."""
     keys = ["product_code", "product_name"]
     added = [c for c in pivot.columns if c not in keys]
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in ranked.columns if c not in added])
     joined = ranked.join(pivot, keys, "left")
     return joined.select(
-        *ranked.columns, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in added]
+        *[F.col(f"`{c}`") for c in ranked.columns], *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in added]
     )
 
 
@@ -141,18 +169,27 @@ def _known(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def product_totals(
-    lines: DataFrame, keys: Sequence[str], quantity: str, amount: str, months: Sequence[str] = ()
+    lines: DataFrame, keys: Sequence[str], quantity: str, amount: str, months: Sequence[str] | None = ()
 ) -> DataFrame:
-    """Total quantity and amount per key, and the same per listed month, in one aggregation."""
-    return _known(lines, keys).groupBy(*keys).agg(
+    """Total quantity and amount per key, and the same per month (``None``: every month of the lines).
+
+    Lines are first reduced to one row per key and month; the columns are sums over those few rows, so their number
+    does not multiply the work on the lines.
+    """
+    if months is not None and not months:
+        return _known(lines, keys).groupBy(*keys).agg(
+            sum_or_zero(F.col("quantity")).alias(quantity), sum_or_zero(F.col("subtotal")).alias(amount)
+        )
+    totals, months = _sparse(lines, keys, months)
+    return totals.groupBy(*keys).agg(
         sum_or_zero(F.col("quantity")).alias(quantity),
         sum_or_zero(F.col("subtotal")).alias(amount),
         *period_sums(months, "ym"),
     )
 
 
-def rank_sold_products(lines: DataFrame, months: Sequence[str] = ()) -> DataFrame:
-    """Every sold (code, name) with totals, rank by amount and month columns.
+def rank_sold_products(lines: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
+    """Every sold (code, name) with totals, rank by amount and month columns (by default of all months).
 
     Months and totals come from one pass over the lines; the ranking is global but
     computed by range, see :func:`ledgerloom.operators.ordered.number_rows`.

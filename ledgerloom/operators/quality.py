@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import parse_sales_date
+from ledgerloom.schema import DAMAGED, FIELDS, PERIOD, ROW_NO, SOURCE_FILE, SPARK_TYPES
 from ledgerloom.storage import materialize
 
 
@@ -21,6 +22,29 @@ def quality_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
+def damaged_stats(landed: DataFrame) -> DataFrame:
+    """Rows, and how many of them do not fit the header of their file (read with ``damaged="keep"``)."""
+    # Spark refuses to read nothing but the damaged text from a file: one more column is looked at.
+    beside = next(c for c in landed.columns if c not in (DAMAGED, SOURCE_FILE, ROW_NO, PERIOD))
+    damaged = F.when(F.col(DAMAGED).isNotNull(), F.coalesce(F.col(f"`{beside}`").cast("string"), F.lit("")))
+    return landed.agg(F.count(F.lit(1)).alias("rows"), F.count(damaged).alias("damaged"))
+
+
+def overflow_stats(landed: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+    """Per column of a landed table the cells that are null, no number, and numbers too large for their type."""
+    kinds = {f.name: SPARK_TYPES[f.kind] for f in FIELDS[kind]}
+    stats = []
+    for c in columns:
+        text = F.replace(F.col(c), F.lit(","), F.lit(""))
+        number, fits = text.try_cast("double").isNotNull(), text.try_cast(kinds[c].simpleString()).isNotNull()
+        empty = F.col(c).isNull() | (F.trim(c) == "")
+        stats += [
+            F.count_if(empty).alias(f"{c}_empty"), F.count_if(~empty & ~number).alias(f"{c}_bad"),
+            F.count_if(~empty & number & ~fits).alias(f"{c}_overflow"),
+        ]
+    return landed.agg(F.count(F.lit(1)).alias("rows"), *stats)
+
+
 def date_parse_stats(landed: DataFrame, column: str = "order_date") -> DataFrame:
     """How many of the filled date cells could be parsed, and whether it is under half."""
     filled = F.col(column).isNotNull() & (F.trim(column) != "")

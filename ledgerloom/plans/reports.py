@@ -1,6 +1,7 @@
 """The three report paths, composed from the operators.
 
-Every function returns a dictionary of lazy tables; nothing runs until one is read.
+Every function returns a dictionary of lazy tables.  ``month_report`` runs jobs while it is called: what headers inherit is
+written, and the month columns are found in the data unless they are named.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.functions.reports import format_comparison
 from ledgerloom.operators import filters, inventory, metrics, products
-from ledgerloom.operators.cleaning import derive_calendar
+from ledgerloom.operators.cleaning import report_calendar
 from ledgerloom.operators.hierarchy import fill_by_order_id, fill_order_info, order_headers
+from ledgerloom.schema import present
 
 
 def sales_dashboard(
@@ -45,15 +47,20 @@ def sales_dashboard(
 
 
 def month_report(
-    sales: DataFrame, stock: DataFrame | None = None, months: Sequence[str] = ()
+    sales: DataFrame, stock: DataFrame | None = None, months: Sequence[str] | None = None, raw_date: str | None = None,
+    fallback: str = "table", run_month: str | None = None,
 ) -> dict[str, DataFrame]:
     """Month path: orders, lines, month tables, rankings.
 
-    Orders come from the header rows alone.  Only the lines need the fill, and of the
-    order columns only the date enters it.
+    Orders come from the header rows alone.  Only the lines need the fill, and of the order columns only the date (and its
+    text ``raw_date``) enters it.  Where the whole date column fails, or is missing, months come from the file names, else
+    from ``run_month``; see :func:`ledgerloom.operators.cleaning.report_calendar`.  ``months`` are shown as columns, by
+    default all.
     """
-    orders = derive_calendar(order_headers(sales))
-    lines = derive_calendar(fill_by_order_id(sales, ["order_date"])).filter("product_code is not null")
+    orders = report_calendar(order_headers(sales), "order_date", raw_date, fallback, run_month)
+    dates = present(sales, ["order_date", *([raw_date] if raw_date else [])])
+    filled = fill_by_order_id(sales, dates) if dates else sales
+    lines = report_calendar(filled, "order_date", raw_date, fallback, run_month).filter("product_code is not null")
     monthly = metrics.monthly_report(orders)
     growth = metrics.month_over_month(monthly)
     tables = {

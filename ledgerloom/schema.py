@@ -21,6 +21,8 @@ AMOUNT = T.DecimalType(18, 4)
 SOURCE_FILE = "source_file"
 ROW_NO = "row_no"
 PERIOD = "period"
+# The text of a CSV row that does not fit its header.
+DAMAGED = "damaged_text"
 POSITION = (SOURCE_FILE, ROW_NO)
 
 

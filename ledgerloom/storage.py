@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest table, in rows, that this library marks for broadcast.
+# Largest table, in rows and in bytes, that this library marks for broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -45,9 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it has at most ``limit`` rows.
+    """Mark ``df`` for broadcast only after counting that it has at most ``limit`` rows of at most BROADCAST_BYTES.
 
-    The count stops at ``limit + 1``.  Beyond it the frame comes back unmarked and the
-    join is planned as a shuffle join.
+    The count stops at ``limit + 1``.  Beyond either bound the frame comes back unmarked and the join is planned as a
+    shuffle join.  The count runs the frame's plan: give it written tables, or cheap ones.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    text = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    fixed = F.lit(16 * len(df.columns))
+    size = sum(text, fixed)
+    seen = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= limit and (seen["b"] or 0) <= BROADCAST_BYTES else df
