@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordered import BUCKET_ROWS, forward_fill, previous_value
 from ledgerloom.schema import LINE_COLUMNS, ORDER_COLUMNS, PERIOD, ROW_NO, SOURCE_FILE, present
-from ledgerloom.storage import broadcast_if_small, materialize
+from ledgerloom.storage import materialize
 
 _CALENDAR = ("year", "month", "ym")
 _SPLIT_COLUMNS = ("product_code", "product_name", "quantity", "unit_price", "subtotal")
@@ -46,7 +46,7 @@ def fill_by_order_id(
     columns = present(df, ORDER_COLUMNS) if columns is None else list(columns)
     header = F.col("order_no").isNotNull()
     inherited = _inherited_by_headers(df, columns, bucket_rows)
-    headers = df.filter(header).join(broadcast_if_small(inherited), [SOURCE_FILE, ROW_NO], "left").select(*[
+    headers = df.filter(header).join(inherited, [SOURCE_FILE, ROW_NO], "left").select(*[
         F.coalesce(F.col(c), F.col(f"_earlier_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns
     ])
     filled = forward_fill(
@@ -83,7 +83,8 @@ def _inherited_by_headers(df: DataFrame, columns: Sequence[str], bucket_rows: in
     above = forward_fill(
         materialize(ends.join(several, keys, "left_semi"), "runs"), columns, keys=keys, order_by="_head", bucket_rows=bucket_rows, only_above=True,
     )
-    return above.select(SOURCE_FILE, F.col("_head").alias(ROW_NO), *[F.col(c).alias(f"_earlier_{c}") for c in columns])
+    given = above.select(SOURCE_FILE, F.col("_head").alias(ROW_NO), *[F.col(c).alias(f"_earlier_{c}") for c in columns])
+    return materialize(given, "inherited")
 
 
 def repeated_orders(df: DataFrame) -> DataFrame:

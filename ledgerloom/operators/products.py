@@ -147,7 +147,15 @@ def pivot_months(
 ) -> DataFrame:
     """Quantity and amount per key and month (by default every month of the lines), 0 where there is none."""
     totals, months = _sparse(lines, keys, months)
-    return totals.groupBy(*keys).agg(*period_sums(months, "ym"))
+    return _wide(totals, keys, months)
+
+
+def _wide(totals: DataFrame, keys: Sequence[str], months: Sequence[str]) -> DataFrame:
+    """Two columns per month out of the sparse form; a pivot, as hundreds of conditional sums outgrow compiled code."""
+    wide = totals.groupBy(*keys).pivot("ym", list(months)).agg(
+        F.sum("quantity").alias("quantity"), F.sum("subtotal").alias("amount")
+    )
+    return wide.select(*keys, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in period_columns(months)])
 
 
 def attach_months(ranked: DataFrame, pivot: DataFrame) -> DataFrame:
@@ -181,11 +189,10 @@ def product_totals(
             sum_or_zero(F.col("quantity")).alias(quantity), sum_or_zero(F.col("subtotal")).alias(amount)
         )
     totals, months = _sparse(lines, keys, months)
-    return totals.groupBy(*keys).agg(
-        sum_or_zero(F.col("quantity")).alias(quantity),
-        sum_or_zero(F.col("subtotal")).alias(amount),
-        *period_sums(months, "ym"),
+    sums = totals.groupBy(*keys).agg(
+        sum_or_zero(F.col("quantity")).alias(quantity), sum_or_zero(F.col("subtotal")).alias(amount)
     )
+    return sums.join(_wide(totals, keys, months), list(keys)) if months else sums
 
 
 def rank_sold_products(lines: DataFrame, months: Sequence[str] | None = None) -> DataFrame:

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names, numbers, reports
 from ledgerloom.operators import cleaning, filters, hierarchy, inventory, metrics, products, quality
+from ledgerloom.operators.ordered import number_rows
 from ledgerloom.plans import landing
+from ledgerloom.plans.reports import month_report
 from ledgerloom.schema import PERIOD, POSITION, ROW_NO, SOURCE_FILE, check_contract, resolve_aliases
 from ledgerloom.sources import exports
-from ledgerloom.streaming.incremental import land_and_wait
+from ledgerloom.streaming.incremental import land_and_wait, read_uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +87,35 @@ def _(spark, sf):
     return inventory.latest_per_sku(stock, ["product_name", "on_hand", "unit_cost", "vendor_short"])
 
 
+@query("a1_row_order")
+def _(spark, sf):
+    """Exports of one name in two folders, one of them appended to: every row at its place in its own export."""
+    rows = exports.read_sales(spark, landing.twin_exports(spark, sf))
+    placed = number_rows(rows, [F.col(ROW_NO).asc()], [SOURCE_FILE], "place")
+    return placed.select(SOURCE_FILE, "place", PERIOD, "order_no", "product_code", "subtotal")
+
+
+@query("a2_read_inventory_rows")
+def _(spark, sf):
+    stock = exports.read_inventory(spark, landing.export_folder(spark, sf, "inventory"))
+    placed = number_rows(stock, [F.col(ROW_NO).asc()], name="place")
+    return placed.select("place", "product_code", "product_name", "on_hand", "unit_cost", "vendor_short", "margin_pct")
+
+
+@query("a3_file_catalog")
+def _(spark, sf):
+    listed = exports.file_catalog(spark, landing.export_folder(spark, sf, "sales"), order="name")
+    return listed.select("name", (F.col("bytes") > 0).alias("has_bytes"), F.col("modified").isNotNull().alias("has_time"))
+
+
+@query("a4_overlay_catalog")
+def _(spark, sf):
+    history = exports.file_catalog(spark, landing.export_folder(spark, sf, "sales"))
+    active = history.filter(names.period_from_filename(F.col("name")).isin(list(MONTHS)))
+    both = exports.overlay_catalog(active.withColumn("side", F.lit("active")), history.withColumn("side", F.lit("history")))
+    return both.select("name", "side")
+
+
 @query("a5_period_from_filename")
 def _(spark, sf):
     files = landing.sales_text(spark, sf).groupBy(SOURCE_FILE).agg(F.count(F.lit(1)).alias("n"))
@@ -103,6 +134,13 @@ def _(spark, sf):
     return cleaning.apply_period_fallback(undated).groupBy("ym").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a7_month_report_undated")
+def _(spark, sf):
+    """The month report of a table without a date column: months come from the file names."""
+    report = month_report(landing.sales(spark, sf).drop("order_date"))
+    return report["monthly"].join(report["lines"].groupBy("ym").agg(F.count(F.lit(1)).alias("lines")), "ym")
+
+
 @query("a8_union_periods")
 def _(spark, sf):
     sales = landing.sales(spark, sf).drop(PERIOD)
@@ -124,6 +162,22 @@ def _(spark, sf):
     return _period_totals(exports.select_periods(landing.sales(spark, sf), "latest"))
 
 
+@query("a9_select_periods_one")
+def _(spark, sf):
+    """One period of the landed CSV: only its files are opened."""
+    return _period_totals(exports.read_sales(spark, landing.export_folder(spark, sf, "sales"), periods=[MONTHS[0]]))
+
+
+@query("a9_latest_export")
+def _(spark, sf):
+    """The newest export by a catalogue whose times follow the names, so that they are the same everywhere."""
+    folder = landing.export_folder(spark, sf, "sales")
+    stamped = F.to_timestamp(F.substring("name", 7, 8), "yyyyMMdd")
+    catalog = exports.file_catalog(spark, folder).withColumn("modified", stamped)
+    newest = exports.latest_export(exports.read_sales(spark, folder), catalog)
+    return newest.select(SOURCE_FILE, "order_no", "product_code", "quantity", "subtotal")
+
+
 @query("a9_select_periods_many")
 def _(spark, sf):
     return _period_totals(exports.select_periods(landing.sales(spark, sf), "many", MONTHS))
@@ -144,6 +198,11 @@ def _(spark, sf):
 
 
 @query("a11_preview")
+def _(spark, sf):
+    return exports.preview(landing.sales(spark, sf), 10).select(*POSITION, "order_no", "product_code", "quantity", "subtotal")
+
+
+@query("a11_describe_columns")
 def _(spark, sf):
     return exports.describe_columns(landing.sales(spark, sf))
 
@@ -172,6 +231,12 @@ def _(spark, sf):
     )
 
 
+@query("a13_replaced_uploads")
+def _(spark, sf):
+    rows = read_uploads(spark, *landing.uploads(spark, sf, MONTHS))
+    return _period_totals(rows)
+
+
 # --- cleaning and scalar expressions ----------------------------------------------------
 
 
@@ -242,7 +307,7 @@ def _(spark, sf):
 def _(spark, sf):
     parsed = dates.parse_report_date(F.col("date_text"))
     dated = _date_texts(spark, sf).withColumn("order_date", parsed)
-    return cleaning.derive_calendar(dated).groupBy("ym").agg(F.count(F.lit(1)).alias("n"))
+    return _iso(cleaning.derive_calendar(dated).select("o_orderkey", "order_date", "ym"))
 
 
 @query("b8_derive_calendar")
@@ -322,6 +387,26 @@ def _(spark, sf):
     return quality.quality_stats(landing.sales(spark, sf), ["order_no", "order_date", "total_amount", "subtotal"])
 
 
+@query("b17_damaged_rows")
+def _(spark, sf):
+    """Line breaks in cells: read by lines each makes two damaged rows, read as quoted cells none."""
+    folder = landing.damaged_exports(spark, sf)
+    by_line = quality.damaged_stats(exports.read_landed(spark, folder, "sales", damaged="keep"))
+    whole = quality.damaged_stats(exports.read_landed(spark, folder, "sales", damaged="keep", multi_line=True))
+    return by_line.withColumn("read_as", F.lit("lines")).unionByName(whole.withColumn("read_as", F.lit("quoted cells")))
+
+
+@query("b17_overflow_stats")
+def _(spark, sf):
+    """Amounts, some of them empty, words, or beyond the 18 digits of their type."""
+    text, n = landing.sales_text(spark, sf), F.col(ROW_NO)
+    amount = (
+        F.when(n % 13 == 0, F.lit("n/a")).when(n % 17 == 0, F.lit("")).when(n % 19 == 0, F.lit("9" * 17 + ".00"))
+        .otherwise(F.col("subtotal"))
+    )
+    return quality.overflow_stats(text.withColumn("subtotal", amount), ["subtotal", "total_amount"], "sales")
+
+
 @query("b17_date_parse_stats")
 def _(spark, sf):
     return quality.date_parse_stats(_date_texts(spark, sf), "date_text")
@@ -374,6 +459,43 @@ def _(spark, sf):
     return hierarchy.split_rule(filled)
 
 
+def _paired_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row an order of its own, but each 20th is the line of the row above it; only such lines have a product."""
+    n = F.col(ROW_NO)
+    line = n % 20 == 0
+    number = F.concat(F.lit("Q"), F.when(line, n - 1).otherwise(n).cast("string"), F.lit("-"), F.col(SOURCE_FILE))
+    return landing.sales(spark, sf).withColumns({
+        "order_no": number, "product_code": F.when(line | (n % 20 != 19), F.col("product_code")),
+    })
+
+
+@query("c4_split_by_product_column")
+def _(spark, sf):
+    """All rows have an order number and few repeat: the product column tells orders from lines."""
+    paired = _paired_rows(spark, sf)
+    orders, lines = hierarchy.split_levels(paired, "auto", "drop")
+    one = orders.select(*POSITION, "order_no", F.lit("order").alias("level"))
+    return one.unionByName(lines.select(*POSITION, "order_no", F.lit("line").alias("level")))
+
+
+@query("c4_split_by_first_row")
+def _(spark, sf):
+    """A filled table: the first row of every order number is the order, the rest are lines."""
+    filled = hierarchy.fill_order_info(landing.sales(spark, sf), ["order_no"])
+    orders, lines = hierarchy.split_levels(filled, "auto", "drop")
+    one = orders.select(*POSITION, "order_no", F.lit("order").alias("level"))
+    return one.unionByName(lines.select(*POSITION, "order_no", F.lit("line").alias("level")))
+
+
+@query("c4_split_header_products")
+def _(spark, sf):
+    """Header rows with a product count as orders and as lines; the table's own rule is the header mark."""
+    orders, lines = hierarchy.split_levels(gapped_sales(spark, sf), "auto", "keep")
+    one = orders.groupBy().agg(F.lit("order").alias("level"), F.count(F.lit(1)).alias("n"), F.count("order_no").alias("numbered"))
+    two = lines.groupBy().agg(F.lit("line").alias("level"), F.count(F.lit(1)).alias("n"), F.count("order_no").alias("numbered"))
+    return one.unionByName(two)
+
+
 @query("c5_dedup_orders")
 def _(spark, sf):
     return hierarchy.order_headers(gapped_sales(spark, sf)).select(*POSITION, "order_no", "total_amount")
@@ -549,7 +671,7 @@ def _(spark, sf):
 
 @query("e17_rank_sold_products")
 def _(spark, sf):
-    ranked = products.rank_sold_products(_lines(spark, sf), MONTHS)
+    ranked = products.rank_sold_products(_lines(spark, sf))
     return _plain(inventory.add_vendor(ranked, landing.inventory(spark, sf)))
 
 
@@ -560,7 +682,7 @@ def _(spark, sf):
 
 @query("e19_all_sku_sales")
 def _(spark, sf):
-    return _plain(inventory.all_sku_sales(landing.inventory(spark, sf), _lines(spark, sf), MONTHS))
+    return _plain(inventory.all_sku_sales(landing.inventory(spark, sf), _lines(spark, sf)))
 
 
 @query("e20_inventory_kpis")
@@ -674,5 +796,5 @@ def _(spark, sf):
 @query("f7_attach_months")
 def _(spark, sf):
     lines = _lines(spark, sf)
-    ranked = products.rank_sold_products(lines)
-    return _plain(products.attach_months(ranked, products.pivot_months(lines, MONTHS)))
+    ranked = products.rank_sold_products(lines, ())
+    return _plain(products.attach_months(ranked, products.pivot_months(lines)))

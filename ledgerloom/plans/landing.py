@@ -19,6 +19,7 @@ from ledgerloom.operators.cleaning import clean_inventory, clean_sales
 from ledgerloom.operators.ordered import number_rows
 from ledgerloom.schema import PERIOD, ROW_NO, SOURCE_FILE
 from ledgerloom.storage import session_folder
+from ledgerloom.streaming.incremental import land_uploads
 
 _READY: dict[str, object] = {}
 
@@ -184,3 +185,51 @@ def export_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
 
 def export_header(spark: SparkSession, sf_dir: str, kind: str) -> list[str]:
     return list(_READY[export_folder(spark, sf_dir, kind)])
+
+
+def twin_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Sales exports of the same names in two folders: ``a`` written in two goes, ``b`` with every second row."""
+    path = table_folder(spark, sf_dir, "twin_exports")
+    if path not in _READY:
+        table = sales_text(spark, sf_dir)
+        parts = (
+            ("a", "overwrite", F.col(ROW_NO) <= 50), ("a", "append", F.col(ROW_NO) > 50), ("b", "overwrite", F.col(ROW_NO) % 2 == 0)
+        )
+        for folder, mode, chosen in parts:
+            (
+                table.filter(chosen).repartitionByRange(SOURCE_FILE, ROW_NO).sortWithinPartitions(SOURCE_FILE, ROW_NO)
+                .drop(ROW_NO).write.mode(mode).option("header", True).partitionBy(SOURCE_FILE).csv(f"{path}/{folder}")
+            )
+        _READY[path] = True
+    return path
+
+
+def damaged_exports(spark: SparkSession, sf_dir: str) -> str:
+    """Sales exports in which the product name of every 7th row has a line break."""
+    path = table_folder(spark, sf_dir, "damaged_exports")
+    if path not in _READY:
+        broken = F.when(F.col(ROW_NO) % 7 == 0, F.concat("product_name", F.lit("\n"), "unit")).otherwise(F.col("product_name"))
+        (
+            sales_text(spark, sf_dir).withColumn("product_name", broken).drop(ROW_NO)
+            .write.mode("overwrite").option("header", True).partitionBy(SOURCE_FILE).csv(path)
+        )
+        _READY[path] = True
+    return path
+
+
+def uploads(spark: SparkSession, sf_dir: str, replaced: tuple[str, ...]) -> tuple[str, str]:
+    """Target and ledger of sales uploads, landed once, and once more after those of some periods were saved again with
+    every second row."""
+    source, target, ledger = (table_folder(spark, sf_dir, f"uploads{part}") for part in ("", "-landed", "-ledger"))
+    if source not in _READY:
+        table = sales_text(spark, sf_dir)
+        month = F.concat(F.substring(SOURCE_FILE, 7, 4), F.lit("-"), F.substring(SOURCE_FILE, 11, 2))
+        versions = (table, table.filter(month.isin(list(replaced)) & (F.col(ROW_NO) % 2 == 0)))
+        for rows in versions:
+            (
+                rows.repartition(SOURCE_FILE).sortWithinPartitions(SOURCE_FILE, ROW_NO).drop(ROW_NO).write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(SOURCE_FILE).csv(source)
+            )
+            land_uploads(spark, source, target, ledger)
+        _READY[source] = True
+    return target, ledger

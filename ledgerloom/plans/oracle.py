@@ -97,16 +97,20 @@ date_texts AS (
 """.replace("{unsold}", _in(UNSOLD_PERIODS))
 
 
-def _period_sums(column: str, alias: str = "m") -> str:
+# Every month of the test data.
+ALL_MONTHS = tuple(f"{n // 12}-{n % 12 + 1:02d}" for n in range(1995 * 12, 2001 * 12 + 8))
+
+
+def _period_sums(column: str, alias: str = "m", months: tuple[str, ...] = MONTHS) -> str:
     return ", ".join(
         f"SUM(CASE WHEN {column} = '{p}' THEN quantity ELSE 0 END) AS {alias}{p.replace('-', '_')}_quantity, "
         f"SUM(CASE WHEN {column} = '{p}' THEN subtotal ELSE 0 END) AS {alias}{p.replace('-', '_')}_amount"
-        for p in MONTHS
+        for p in months
     )
 
 
-def _period_names(wrap: str = "{}") -> str:
-    names = [f"m{p.replace('-', '_')}_{w}" for p in MONTHS for w in ("quantity", "amount")]
+def _period_names(wrap: str = "{}", months: tuple[str, ...] = MONTHS) -> str:
+    names = [f"m{p.replace('-', '_')}_{w}" for p in months for w in ("quantity", "amount")]
     return ", ".join(wrap.format(n) + (f" AS {n}" if wrap != "{}" else "") for n in names)
 
 
@@ -132,6 +136,37 @@ _READ = {
 SELECT source_file, order_no, product_code, quantity, subtotal, customer_name, total_amount FROM filled""",
     "a2_read_inventory": """
 SELECT product_code, product_name, stock AS on_hand, unit_cost, vendor_short FROM stock""",
+    "a1_row_order": """
+WITH twins AS (
+  SELECT 'a/' || source_file AS f, * FROM sales UNION ALL
+  SELECT 'b/' || source_file AS f, * FROM sales WHERE row_no % 2 = 0)
+SELECT f AS source_file, ROW_NUMBER() OVER (PARTITION BY f ORDER BY row_no) AS place, period, order_no, product_code, subtotal
+FROM twins""",
+    "a2_read_inventory_rows": """
+SELECT row_no AS place, product_code, product_name, on_hand, unit_cost, vendor_short,
+  CASE WHEN margin_text = '***.**' THEN NULL ELSE CAST(margin_text AS DOUBLE) END AS margin_pct FROM inv""",
+    "a3_file_catalog": """
+SELECT DISTINCT source_file AS name, TRUE AS has_bytes, TRUE AS has_time FROM sales""",
+    "a4_overlay_catalog": f"""
+SELECT DISTINCT source_file AS name, CASE WHEN period IN ({_in(MONTHS)}) THEN 'active' ELSE 'history' END AS side FROM sales""",
+    "a7_month_report_undated": """
+WITH once AS (
+  SELECT * FROM sales WHERE order_no IS NOT NULL
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY order_no ORDER BY source_file, row_no) = 1),
+per_month AS (SELECT period, COUNT(*) AS lines FROM sales WHERE product_code IS NOT NULL GROUP BY period)
+SELECT period AS ym, SUM(total_amount) AS total_amount, SUM(gross_profit) AS gross_profit,
+  CAST(SUM(gross_profit) AS DOUBLE) / CAST(SUM(total_amount) AS DOUBLE) * 100.0 AS margin_pct, ANY_VALUE(lines) AS lines
+FROM once JOIN per_month USING (period) GROUP BY period""",
+    "a9_select_periods_one": f"""
+SELECT period, COUNT(*) AS n, SUM(subtotal) AS subtotal FROM sales WHERE period = '{MONTHS[0]}' GROUP BY period""",
+    "a9_latest_export": """
+SELECT source_file, order_no, product_code, quantity, subtotal FROM sales
+WHERE source_file = (SELECT MAX(source_file) FROM sales)""",
+    "a11_preview": """
+SELECT source_file, row_no, order_no, product_code, quantity, subtotal FROM sales ORDER BY source_file, row_no LIMIT 10""",
+    "a13_replaced_uploads": f"""
+SELECT period, COUNT(*) AS n, SUM(subtotal) AS subtotal FROM sales
+WHERE period NOT IN ({_in(MONTHS)}) OR row_no % 2 = 0 GROUP BY period""",
     "a5_period_from_filename": """
 SELECT source_file, COUNT(*) AS n,
   SUBSTR(SPLIT_PART(source_file, '_', 2), 1, 4) || '-' || SUBSTR(SPLIT_PART(source_file, '_', 2), 5, 2) AS period
@@ -179,8 +214,9 @@ FROM inv""",
 SELECT o_orderkey, CASE WHEN k < 8 THEN {_ISO.format('d')} END AS order_date FROM date_texts""",
     "b6_minguo_to_date": f"""
 SELECT o_orderkey, CASE WHEN k < 3 THEN {_ISO.format('d')} END AS order_date FROM date_texts""",
-    "b7_parse_date_by_sample": """
-SELECT CASE WHEN k < 8 THEN STRFTIME(d, '%Y-%m') END AS ym, COUNT(*) AS n FROM date_texts GROUP BY 1""",
+    "b7_parse_date_by_sample": f"""
+SELECT o_orderkey, CASE WHEN k < 8 THEN {_ISO.format('d')} END AS order_date, CASE WHEN k < 8 THEN STRFTIME(d, '%Y-%m') END AS ym
+FROM date_texts""",
     "b8_derive_calendar": """
 WITH x AS (
   SELECT CASE WHEN k < 8 OR k = 8 THEN YEAR(d) END AS y, CASE WHEN k < 8 THEN MONTH(d) WHEN k = 8 THEN 2 END AS m
@@ -219,6 +255,14 @@ SELECT product_code, CASE WHEN q = 0 AND stock > 0 THEN product_name || ' ⚠️
     "b17_quality_stats": """
 SELECT COUNT(*) AS rows, COUNT(*) - COUNT(order_no) AS order_no_nulls, COUNT(*) - COUNT(order_date) AS order_date_nulls,
   COUNT(*) - COUNT(total_amount) AS total_amount_nulls, COUNT(*) - COUNT(subtotal) AS subtotal_nulls FROM sales""",
+    "b17_damaged_rows": """
+SELECT 'lines' AS read_as, COUNT(*) + COUNT(*) FILTER (WHERE row_no % 7 = 0) AS rows, 2 * COUNT(*) FILTER (WHERE row_no % 7 = 0) AS damaged
+FROM sales UNION ALL SELECT 'quoted cells', COUNT(*), 0 FROM sales""",
+    "b17_overflow_stats": """
+WITH x AS (SELECT row_no % 13 = 0 AS bad, row_no % 17 = 0 AS empty, row_no % 19 = 0 AS large, total_amount AS t FROM sales)
+SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE empty AND NOT bad) AS subtotal_empty, COUNT(*) FILTER (WHERE bad) AS subtotal_bad,
+  COUNT(*) FILTER (WHERE large AND NOT bad AND NOT empty) AS subtotal_overflow, COUNT(*) - COUNT(t) AS total_amount_empty,
+  0 AS total_amount_bad, 0 AS total_amount_overflow FROM x""",
     "b17_date_parse_stats": """
 SELECT COUNT(*) FILTER (WHERE k < 9) AS dates, COUNT(*) FILTER (WHERE k < 8) AS parsed,
   CAST(COUNT(*) FILTER (WHERE k < 8) AS DOUBLE) / COUNT(*) FILTER (WHERE k < 9) AS parsed_share, FALSE AS suspicious
@@ -251,6 +295,19 @@ SELECT {_POSITION}, product_code, quantity, subtotal FROM gapped WHERE order_no
     "c4_split_rule": """
 SELECT COUNT(*) AS rows, COUNT(order_no) AS order_rows, COUNT(DISTINCT order_no) AS orders, 'first_row' AS rule
 FROM filled""",
+    "c4_split_by_product_column": """
+WITH x AS (
+  SELECT source_file, row_no, 'Q' || CASE WHEN row_no % 20 = 0 THEN row_no - 1 ELSE row_no END || '-' || source_file AS order_no,
+    row_no % 20 = 19 AS h FROM sales),
+o AS (SELECT * FROM x WHERE h QUALIFY ROW_NUMBER() OVER (PARTITION BY order_no ORDER BY source_file, row_no) = 1)
+SELECT source_file, row_no, order_no, 'order' AS level FROM o UNION ALL
+SELECT source_file, row_no, order_no, 'line' FROM x WHERE NOT h""",
+    "c4_split_by_first_row": """
+SELECT source_file, row_no, order_no, CASE WHEN ROW_NUMBER() OVER (PARTITION BY order_no ORDER BY source_file, row_no) = 1
+  THEN 'order' ELSE 'line' END AS level FROM filled""",
+    "c4_split_header_products": """
+SELECT 'order' AS level, COUNT(*) AS n, COUNT(order_no) AS numbered FROM gapped_once UNION ALL
+SELECT 'line', COUNT(*), COUNT(order_no) FROM gapped WHERE product_code IS NOT NULL""",
     "c5_dedup_orders": f"SELECT {_POSITION}, order_no, total_amount FROM gapped_once",
     "c6_assign_parent": f"""
 SELECT {_POSITION}, COALESCE(MAX(CASE WHEN order_no IS NOT NULL THEN row_no END)
@@ -339,7 +396,7 @@ FROM monthly WINDOW w AS (ORDER BY ym)""",
 SELECT ym, DAY(order_date) AS day, SUM(total_amount) AS sales FROM orders_once GROUP BY 1, 2""",
     "e17_rank_sold_products": f"""
 WITH t AS (
-  SELECT product_code, product_name, SUM(quantity) AS total_quantity, SUM(subtotal) AS total_amount, {_period_sums('ym')}
+  SELECT product_code, product_name, SUM(quantity) AS total_quantity, SUM(subtotal) AS total_amount, {_period_sums('ym', months=ALL_MONTHS)}
   FROM lines GROUP BY product_code, product_name)
 SELECT ROW_NUMBER() OVER (ORDER BY total_amount DESC, t.product_code, t.product_name) AS rank, t.*,
   COALESCE(stock, 0) AS stock, COALESCE(vendor_short, 'N/A') AS vendor_short
@@ -347,10 +404,10 @@ FROM t LEFT JOIN stock s ON s.product_code = t.product_code""",
     "e18_top_n_products": _TOP50,
     "e19_all_sku_sales": f"""
 WITH t AS (
-  SELECT product_code, SUM(quantity) AS q, SUM(subtotal) AS a, {_period_sums('ym')} FROM lines GROUP BY product_code)
+  SELECT product_code, SUM(quantity) AS q, SUM(subtotal) AS a, {_period_sums('ym', months=ALL_MONTHS)} FROM lines GROUP BY product_code)
 SELECT ROW_NUMBER() OVER (ORDER BY COALESCE(a, 0) DESC, s.product_code) AS rank, s.product_code, s.product_name, stock,
   COALESCE(vendor_short, 'N/A') AS vendor_short, COALESCE(q, 0) AS sales_quantity, COALESCE(a, 0) AS sales_amount,
-  {_period_names('COALESCE({}, 0)')}
+  {_period_names('COALESCE({}, 0)', ALL_MONTHS)}
 FROM stock s LEFT JOIN t ON s.product_code = t.product_code""",
     "e20_inventory_kpis": """
 SELECT COUNT(*) AS skus, CAST(SUM(on_hand) AS BIGINT) AS total_stock,
@@ -370,6 +427,8 @@ FROM stock LEFT JOIN summary USING (product_code)""",
     "e24_largest_orders": """
 SELECT order_no, total_amount FROM orders_once ORDER BY total_amount DESC, order_no LIMIT 5""",
     "e24_order_total": "SELECT SUM(total_amount) AS total_amount FROM orders_once",
+    "e25_sample_values": """
+SELECT total_amount, gross_profit FROM orders_once ORDER BY MD5('7|' || order_no), order_no LIMIT 5""",
     "e26_duplicate_keys": """
 SELECT order_no, COUNT(*) AS n FROM gapped WHERE order_no IS NOT NULL GROUP BY order_no HAVING COUNT(*) > 1""",
     "e26_dedup_totals": """
@@ -412,7 +471,7 @@ SELECT row_no, i.product_code, {_period_names('COALESCE({}, 0)')}
 FROM inv i LEFT JOIN t ON i.product_code = t.product_code""",
     "f7_attach_months": f"""
 WITH t AS (
-  SELECT product_code, product_name, SUM(quantity) AS total_quantity, SUM(subtotal) AS total_amount, {_period_sums('ym')}
+  SELECT product_code, product_name, SUM(quantity) AS total_quantity, SUM(subtotal) AS total_amount, {_period_sums('ym', months=ALL_MONTHS)}
   FROM lines GROUP BY product_code, product_name)
 SELECT ROW_NUMBER() OVER (ORDER BY total_amount DESC, product_code, product_name) AS rank, t.* FROM t""",
 }

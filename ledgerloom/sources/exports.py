@@ -34,18 +34,16 @@ def _unescaped(c: Column) -> Column:
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
-def _below(path: Column, roots: Sequence[str]) -> Column:
-    """A decoded path without its scheme, below the first root that holds it; a root that is a file leaves its name."""
-    plain = F.regexp_replace(path, _SCHEME, "")
-    found = F.lit(None).cast("string")
-    for root in reversed(roots):
+def _below(plain: Column, roots: Sequence[str]) -> Column:
+    """A decoded path without scheme, below the first root that holds it; a root that is a file leaves its name."""
+    found = []
+    for root in roots:
         fixed = re.sub(_SCHEME, "", root).rstrip("/")
         glob = re.search(r"[*?\[{]", fixed)
         if glob:
             fixed = fixed[: fixed.rindex("/", 0, glob.start())]
-        inside = F.when(plain.startswith(fixed + "/"), F.substr(plain, F.lit(len(fixed) + 2)))
-        found = F.when(plain == fixed, F.element_at(F.split(plain, "/"), -1)).otherwise(F.coalesce(inside, found))
-    return F.coalesce(found, F.element_at(F.split(plain, "/"), -1))
+        found.append(F.when(plain.startswith(fixed + "/"), F.substr(plain, F.lit(len(fixed) + 2))))
+    return F.coalesce(*found, F.element_at(F.split(plain, "/"), -1))
 
 
 def list_exports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -62,23 +60,26 @@ def list_exports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _LISTED)
-    # The path as a scan of the same files will give it, and decoded.
+    # The path as a scan of the same files will give it, and decoded.  One step a column: each is used several times.
     files = listed.select(
         F.col("_metadata.file_path").alias("path"), _unescaped(F.col("_metadata.file_path")).alias("_plain"),
         F.col("modificationTime").alias("modified"), "length",
     )
-    file = F.element_at(F.split("_plain", "/"), -1)
-    folder = F.regexp_replace("_plain", r"/[^/]*$", "")
+    files = files.withColumn("_flat", F.regexp_replace("_plain", _SCHEME, ""))
+    files = files.withColumns({
+        "_file": F.element_at(F.split("_flat", "/"), -1), "_folder": F.regexp_replace("_plain", r"/[^/]*$", ""),
+        "_below": _below(F.col("_flat"), paths),
+    })
     # A part file's export is its folder: below the root, or the root itself.
     inner = F.when(F.contains(F.col("_below"), F.lit("/")), F.regexp_replace("_below", r"/[^/]*$", ""))
-    holder = F.coalesce(inner, F.element_at(F.split(folder, "/"), -1))
+    files = files.withColumn("_holder", F.coalesce(inner, F.element_at(F.split("_folder", "/"), -1)))
     # How a table partitioned by export writes its folders; the value in it is escaped once more.
     by_export = f"^(.*/)?{SOURCE_FILE}=([^/]*)$"
-    holder = F.when(holder.rlike(by_export), _unescaped(F.regexp_replace(holder, by_export, "$1$2"))).otherwise(holder)
+    valued = _unescaped(F.regexp_replace("_holder", by_export, "$1$2"))
     is_part = F.col("_file").startswith("part-")
-    named = files.withColumns({"_file": file, "_below": _below(F.col("_plain"), paths)}).withColumns({
-        "name": F.when(is_part, holder).otherwise(F.col("_below")),
-        "export_path": F.when(is_part, folder).otherwise(F.col("_plain")),
+    named = files.withColumn("_holder", F.when(F.col("_holder").rlike(by_export), valued).otherwise(F.col("_holder"))).withColumns({
+        "name": F.when(is_part, F.col("_holder")).otherwise(F.col("_below")),
+        "export_path": F.when(is_part, F.col("_folder")).otherwise(F.col("_plain")),
     })
     number = F.coalesce(F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("bigint"), F.lit(0))
     piece = F.coalesce(F.regexp_extract("_file", r"^part-.*[.-]c(\d+)", 1).try_cast("bigint"), F.lit(0))
