@@ -5,6 +5,10 @@ its link density, its length and its stop-word density as good, bad, near good o
 one left open: a near-good or short block takes the label of its nearest decided neighbours; where they disagree, a
 near-good one is good, a short one is bad, and a short heading goes with what follows it.  Marks of articles speak for
 the blocks inside them; what stands outside of marks is judged by the text rules as on pages without marks.
+
+Few stop words make a block open, never bad (code, table cells, names).  On a page whose sentences hold too few of the
+listed stop words, its language is an unlisted one: the short words that come back in its sentences are its stop words.
+Scripts without blanks are judged by their punctuation, and each of their characters counts as three.
 """
 
 from __future__ import annotations
@@ -12,8 +16,9 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import takewhile
 
 import pyarrow as pa
@@ -26,6 +31,9 @@ from ledgerloom.llm.textnum import blocks, ready_for_python, need_columns
 MAX_LINKS = 0.33
 SHORT, LONG = 70, 200  # characters
 LOW_STOPS, HIGH_STOPS = 0.25, 0.32
+# Stop words learned from a page have at most so many letters and are at least that share of its sentences' words.
+LEARNED_LETTERS, LEARNED_STOPS = 4, 0.1
+UNSPACED_WEIGHT, UNSPACED_MARKS = 3, 40  # length of a character without blanks; most characters for a mark of punctuation
 
 STOP_WORDS = frozenset(
     # English, German, French, Spanish
@@ -52,11 +60,13 @@ _BLOCK = frozenset((
     "summary", "menu", "center",
 ))
 _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
+_IN_HEAD = frozenset(("base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"))
 # A new one of these closes an open one of the same kind.
 _SELF_CLOSING = frozenset(("p", "li", "dt", "dd", "td", "th", "tr"))
-_AWAY = frozenset(("nav", "footer", "aside", "form", "menu"))
-_AWAY_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"))
+_AWAY = frozenset(("nav", "footer", "aside", "menu"))
+_AWAY_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"))
 # Names are read as whole class tokens: 'cookie-notice' and 'tag-list' are names, 'tag-politics' and 'no-sidebar' are not.
+_COMMENT_WORD = r"(?:comments?|commentlist|reply|replies|disqus|respond)"
 _AWAY_WORD = (
     r"(?:ad|ads|adv|advert[^\W_]*|sponsor[^\W_]*|promo[^\W_]*|banner|nav|navbar|navigation|menu[^\W_]*|breadcrumbs?|crumbs?"
     r"|sidebar[^\W_]*|side|footer|foot|masthead|topbar|toolbar|cookies?[^\W_]*|consent|gdpr|notices?|notifications?|alerts?"
@@ -72,6 +82,9 @@ _PLAIN_WORD = (
 _AWAY_NAMES = re.compile(
     rf"(?<!\S)(?:{_PLAIN_WORD}[-_]+)*{_AWAY_WORD}(?:[-_]+(?:{_AWAY_WORD}|{_PLAIN_WORD}))*(?!\S)", re.I
 )
+_COMMENT_NAMES = re.compile(
+    rf"(?<!\S)(?:(?:{_PLAIN_WORD}|user|reader)[-_]+)*{_COMMENT_WORD}(?:[-_]+(?:{_COMMENT_WORD}|{_PLAIN_WORD}))*(?!\S)", re.I
+)
 _PAGE_HEADER = re.compile(
     r"(?<!\S)(?:(?:site|page|main|top|global)[-_]*)?header(?:[-_]+(?:wrap|wrapper|container|inner|bar|top|main))?(?!\S)", re.I
 )
@@ -85,7 +98,11 @@ _TAG = re.compile(
 _NOTABLE = re.compile(r"class|id|role|hidden|style", re.I)
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>"']|$)""", re.I)
-_RAW_END = {name: re.compile(rf"</{name}[^>]*>", re.I) for name in _RAW}
+_RAW_END = {name: re.compile(rf"</{name}[^>]*>", re.I) for name in (*_RAW, "title", "textarea")}
+_SENTENCE_END = re.compile(r"[.!?\u2026\u061f\u06d4\u0964][\"')\]\u2019\u201d\u00bb]*(?:\s|\Z)|[\u3002\uff01\uff1f\uff0e]")
+# Scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_UNSPACED_MARK = re.compile(r"[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f]")
 
 
 @dataclass
@@ -100,6 +117,19 @@ class Block:
     named: tuple[int, ...] = ()  # the elements around it whose names speak against it
     text: str = ""
     label: str = ""
+    unspaced: int = 0  # characters of scripts without blanks
+
+    @property
+    def size(self) -> int:
+        return len(self.text) + (UNSPACED_WEIGHT - 1) * self.unspaced
+
+    @property
+    def links(self) -> float:
+        return self.linked / len(self.text)
+
+    @property
+    def unlinked(self) -> int:
+        return self.size - self.linked * self.size // len(self.text)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -108,23 +138,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _stands(name: str, attrs: dict[str, str], main: bool) -> tuple[bool, bool, bool]:
-    """Whether an element takes its content away from the main text, marks it as main text, or has a name against it."""
+def _stands(name: str, attrs: dict[str, str], main: bool) -> tuple[bool, bool, bool, bool]:
+    """Whether an element takes its content away from the main text, marks it as main text, has a name against it, or
+    the name of reader comments.  A form speaks against its content as a name does: some forms hold the whole page."""
     away = name in _AWAY or (name == "header" and not main)
     if not attrs:
-        return away, name in ("article", "main") and not away, False
+        return away, name in ("article", "main") and not away, name == "form", False
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    named = False
+    named = comments = False
     if name not in ("html", "body"):
-        named = bool(_AWAY_NAMES.search(names)) or (not main and bool(_PAGE_HEADER.search(names)))
+        comments = bool(_COMMENT_NAMES.search(names))
+        named = comments or bool(_AWAY_NAMES.search(names)) or (not main and bool(_PAGE_HEADER.search(names)))
+        named |= name == "form" or attrs.get("role", "").lower() == "form"
         away |= attrs.get("role", "").lower() in _AWAY_ROLES
         away |= "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
         away |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
     marks = name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or (
         bool(names.strip()) and name in ("div", "section") and bool(_MAIN_NAMES.search(names))
     )
-    # A name against an article takes its mark, not its text, which the text rules then judge.
-    return away, marks and not away and not named, named and name not in ("article", "main")
+    # A name against an article takes its mark, not its text, which the text rules then judge; a comment may be an article.
+    return away, marks and not away and not named, named and (comments or name not in ("article", "main")), comments
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -136,10 +169,13 @@ def read_blocks(page: str) -> list[Block]:
     main = names = regions = 0
     marks: dict[str, list[tuple[int, ...]]] = {"article": [], "main": []}  # the named elements around each
     links = 0
+    said: set[int] = set()  # the names of reader comments
     block = Block(False, 0)
     at = 0
 
     def text(piece: str) -> None:
+        if skipped and open_ and open_[-1][0] == "head" and piece.strip():
+            close(len(open_) - 1)  # a head holds no text of its own
         if piece and not skipped:
             block.parts.append(piece)
             if links:
@@ -150,6 +186,8 @@ def read_blocks(page: str) -> list[Block]:
         whole = "".join(block.parts)
         block.text = " ".join((html.unescape(whole) if "&" in whole else whole).split())
         if block.text:
+            if not block.text.isascii():
+                block.unspaced = len(_UNSPACED.findall(block.text))
             out.append(block)
         block = Block(away, main, named=named)
 
@@ -168,11 +206,18 @@ def read_blocks(page: str) -> list[Block]:
         if tag["name"] is None:
             continue
         name, ends = tag["name"].lower(), tag["end"] is not None
-        if name in _RAW:
+        if name in _RAW_END:
             if not ends:
                 stop = _RAW_END[name].search(page, at)
-                at = stop.end() if stop else len(page)
-            continue
+                if stop or name in _RAW:
+                    at = stop.end() if stop else len(page)
+                    continue
+            elif name in _RAW:
+                continue
+        if open_ and not ends and name not in _IN_HEAD and (name in _BLOCK or open_[-1][0] == "head"):
+            # What cannot stand in a head ends it; an open title ends with it.
+            if open_[-1][0] in ("head", "title") and (held := [i for i, o in enumerate(open_) if o[0] == "head"]):
+                close(held[-1])
         if name == "a":
             links = 0 if ends else 1
         elif name == "br":
@@ -197,15 +242,17 @@ def read_blocks(page: str) -> list[Block]:
             if name in ("body",):
                 close(0)
             attrs = _attributes(tag["attrs"])
-            if name in marks and not away:
+            leaves, marked, against, comments = _stands(name, attrs, bool(main))
+            if name in marks and not away and not comments:
                 marks[name].append(named)
-            leaves, marked, against = _stands(name, attrs, bool(main))
             if marked and not main:
                 regions += 1
                 main = regions
             if against:
                 names += 1
                 named = (*named, names)
+                if comments:
+                    said.add(names)
             away, skipped = away or leaves, skipped or name in _SKIPPED
             if not tag["attrs"].endswith("/") or blocky:
                 open_.append((name, away, main, skipped, named))
@@ -219,17 +266,19 @@ def read_blocks(page: str) -> list[Block]:
     cut()
     if names:
         around = marks["main"] + (marks["article"] if len(marks["article"]) == 1 else [])
-        weigh_names(out, {n for m in around for n in m})
+        weigh_names(out, {n for m in around for n in m}, said)
     return out
 
 
-def weigh_names(found: list[Block], lifted: set[int]) -> None:
+def weigh_names(found: list[Block], lifted: set[int], comments: set[int]) -> None:
     """Takes away the blocks in named elements, but for names that are ``lifted`` or that other evidence outweighs.
 
     A name does not count around a main element or the only article, nor where its element holds most of the page's
     unlinked text.  Beside marked main text that is long, or as short as the element itself, it counts even there.
+    Names of reader ``comments`` count whatever they hold where text that is not short stands beside them in the same
+    mark or in front of them in another one, or where good text without a mark stands in front of them.
     """
-    seen = [(b, len(b.text) - b.linked) for b in found if not b.away]
+    seen = [(b, b.unlinked) for b in found if not b.away]
     total = sum(size for _, size in seen)
     inside, marked = Counter(), Counter()  # by name; by mark and the names around
     for b, size in seen:
@@ -245,26 +294,71 @@ def weigh_names(found: list[Block], lifted: set[int]) -> None:
         most = max(outside.values(), default=0)
         if 2 * inside[n] <= total or most > 2 * LONG or (most and inside[n] <= 2 * LONG):
             counts.add(n)
+    for n in comments & inside.keys():
+        first = next(i for i, (b, _) in enumerate(seen) if n in b.named)
+        regions = {b.main for b, _ in seen if n in b.named}
+        beside = (b for i, (b, _) in enumerate(seen) if n not in b.named and (i < first or b.main and b.main in regions))
+        if any(b.size >= SHORT and b.links <= MAX_LINKS if b.main else judge(b) == "good" for b in beside):
+            counts.add(n)
     counts -= lifted
     for b, _ in seen:
         b.away = not counts.isdisjoint(b.named)
 
 
-def judge(b: Block) -> str:
-    """Label of a block by its text alone."""
-    size = len(b.text)
+def _words(text: str) -> list[str]:
+    return [w.strip(".,;:!?\"'()") for w in text.lower().split()]
+
+
+def reads_as_sentences(b: Block) -> bool:
+    """Whether a block has the form of sentences in any language: one ends, and most words begin small (or without case).
+
+    A script without blanks must have a mark of punctuation for ``UNSPACED_MARKS`` characters.
+    """
+    if not _SENTENCE_END.search(b.text):
+        return False
+    if 2 * b.unspaced > len(b.text):
+        return UNSPACED_MARKS * len(_UNSPACED_MARK.findall(b.text)) >= len(b.text)
+    heads = [w[0] for w in b.text.split() if w[0].isalpha()]
+    return 2 * sum(not (c.isupper() or c.istitle()) for c in heads) > len(heads)
+
+
+def learn_stop_words(found: list[Block]) -> frozenset[str] | None:
+    """The stop words of a page in an unlisted language: short words that come back in its sentences.
+
+    None where the sentences hold enough listed stop words, or where the page has none.
+    """
+    prose = [b for b in found if not b.away and b.size >= SHORT and b.links <= MAX_LINKS and reads_as_sentences(b)]
+    words = [_words(b.text) for b in prose]
+    known = sum(b.size * sum(w in STOP_WORDS for w in ws) / len(ws) for b, ws in zip(prose, words))
+    if not prose or known >= LOW_STOPS * sum(b.size for b in prose):
+        return None
+    often = Counter(w for ws in words for w in ws if w.isalpha() and len(w) <= LEARNED_LETTERS)
+    return frozenset(w for w, n in often.items() if n > 1)
+
+
+def judge(b: Block, learn: Callable[[], frozenset[str] | None] = lambda: None) -> str:
+    """Label of a block by its text alone; ``learn`` gives the stop words of a page in an unlisted language."""
+    size = b.size
     if size < SHORT and "\N{COPYRIGHT SIGN}" in b.text:
         return "bad"
-    links = b.linked / size
-    if size < SHORT or (b.heading and links > MAX_LINKS):
+    if size < SHORT or (b.heading and b.links > MAX_LINKS):
         return "short"
-    if links > MAX_LINKS:
+    if b.links > MAX_LINKS:
         return "bad"
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    words = _words(b.text)
+    stops = sum(w in STOP_WORDS for w in words) / len(words)
     if stops >= HIGH_STOPS:
         return "good" if size > LONG else "near"
-    return "near" if stops >= LOW_STOPS else "bad"
+    if stops >= LOW_STOPS:
+        return "near"
+    # Few stop words: code, cells, names, or another language than the listed ones.
+    if not reads_as_sentences(b):
+        return "short"
+    learned = learn()
+    if learned is not None:
+        known = 2 * b.unspaced > len(b.text) or sum(w in learned for w in words) >= LEARNED_STOPS * len(words)
+        return "good" if known and size > LONG else "near"
+    return "near" if size > LONG else "short"
 
 
 def classify(found: list[Block]) -> None:
@@ -277,17 +371,20 @@ def classify(found: list[Block]) -> None:
     """
     sizes = Counter()
     outside = 0
+    learn = cache(lambda: learn_stop_words(found))
     for b in found:
-        b.label = "bad" if b.away else judge(b)
         if b.main and not b.away:
-            sizes[b.main] += len(b.text) - b.linked
-        elif b.label == "good":
-            outside += len(b.text)
+            sizes[b.main] += b.unlinked
+            continue
+        b.label = "bad" if b.away else judge(b, learn)
+        if b.label == "good":
+            outside += b.size
     for b in found:
-        if len(sizes) > 1 and sizes[b.main] <= 2 * LONG and 4 * sizes[b.main] < outside:
-            b.main = 0
         if b.main and not b.away:
-            b.label = "short" if b.linked / len(b.text) > MAX_LINKS else "good"
+            if len(sizes) > 1 and sizes[b.main] <= 2 * LONG and 4 * sizes[b.main] < outside:
+                b.main, b.label = 0, judge(b, learn)
+            else:
+                b.label = "short" if b.links > MAX_LINKS else "good"
 
 
 def settle(found: list[Block]) -> None:
@@ -310,7 +407,7 @@ def settle(found: list[Block]) -> None:
             b.label = left if left == right else ("good" if kind == "near" else "bad")
             if b.heading and kind == "short":
                 b.label = right  # a heading goes with what follows it
-                if b.linked / len(b.text) > MAX_LINKS:
+                if b.links > MAX_LINKS:
                     # One that is a link may belong to a teaser: only what stands below it, up to the next heading, counts.
                     below = takewhile(lambda j: not 0 < found[j].heading <= b.heading, range(i + 1, len(found)))
                     b.label = "good" if any(first[j] == "good" for j in below) else "bad"
