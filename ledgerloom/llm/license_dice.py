@@ -154,6 +154,7 @@ def scan_licenses(
     grams = [bigrams(t) for _, _, t in templates]
     bounds = [_size_bounds(len(g), threshold) for g in grams]
     least = min(b[0] for b in bounds)
+    lone = any(len(_words(t)) == 1 for _, _, t in templates)
     known = F.array(*[
         F.struct(
             F.lit(i).alias("i"), F.lit(b[0]).alias("low"), F.lit(b[1]).alias("high"),
@@ -175,8 +176,10 @@ def scan_licenses(
         return F.filter(segments, lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
     def able(s: Column) -> Column:
-        # A segment of w words has at most w - 1 bigrams, and repeated ones only make it fewer.
-        return (F.size(F.split(s, " ")) > least) & F.arrays_overlap(F.split(s, " "), whole_words)
+        # A segment of w words has at most w - 1 bigrams, and repeated ones only make it fewer; one word stands for itself.
+        n = F.size(F.split(s, " "))
+        long_enough = (n > least) | (n == 1) if lone else n > least
+        return long_enough & F.arrays_overlap(F.split(s, " "), whole_words)
 
     rows = rows.select(
         "doc_id", covered(F.col("_t")).alias("_hit"), lettered(F.split("_t", "\n", -1)).alias("_ls"), lettered(paragraphs).alias("_ps")
