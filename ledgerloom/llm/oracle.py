@@ -61,24 +61,40 @@ def _quality() -> str:
     measured AS (
         SELECT k, doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
             (length(text) - length(translate(text, '{r.SYMBOLS}', '')))::BIGINT AS n_symbols,
-            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
             coalesce(covered.n, 0)::BIGINT AS n_repeat_words
         FROM worded LEFT JOIN covered USING (k)),
     judged AS (
         SELECT *, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.MAX_REPEAT_PERCENT} * n_words AS base_failed
         FROM measured),
-    hosts AS (SELECT source, count(*) AS texts, sum(base_failed::INT) AS failures FROM judged WHERE source IS NOT NULL GROUP BY source),
-    total AS (
-        SELECT sum(failures) / sum(texts) AS mean,
-            sum(texts * (failures / texts) * (failures / texts)) / sum(texts) - (sum(failures) / sum(texts)) ** 2 AS spread
-        FROM hosts),
-    prior AS (
-        SELECT mean, CASE WHEN spread > 0 THEN greatest(1.0, least({r.MOST_PRIOR_WEIGHT}, mean * (1 - mean) / spread - 1))
-            ELSE {r.MOST_PRIOR_WEIGHT} END AS weight FROM total),
-    rates AS (SELECT source, (failures + mean * weight) / (texts + weight) AS rate FROM hosts, prior)
+    failures AS (
+        SELECT source, unnest(['base', 'symbols', 'dup_lines', 'lengths']) AS rule, unnest([
+            base_failed, 100 * n_symbols > {r.MAX_SYMBOL_PERCENT} * n_words,
+            100 * n_dup_lines > {r.MAX_DUP_LINE_PERCENT} * n_lines,
+            word_chars < {r.WORD_LENGTHS[0]} * n_words OR word_chars > {r.WORD_LENGTHS[1]} * n_words]) AS failed
+        FROM judged WHERE source IS NOT NULL),
+    hosts AS (
+        SELECT rule, source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f, f / n AS rate, f <= {r.MAX_HOST_RATE} * n AS usual
+        FROM failures GROUP BY rule, source),
+    priors AS (
+        SELECT rule, source, mean, CASE WHEN spread > 0 THEN greatest(1.0, least({r.MOST_PRIOR_WEIGHT}, mean * (1 - mean) / spread - 1))
+            ELSE {r.MOST_PRIOR_WEIGHT} END AS weight, others
+        FROM (
+            -- the prior of all hosts of a rule, and for each host that of the other usual ones
+            SELECT rule, NULL AS source, sum(f) / sum(n) AS mean, sum(n * rate * rate) / sum(n) - mean * mean AS spread, false AS others
+            FROM hosts GROUP BY rule
+            UNION ALL
+            SELECT h.rule, h.source, sum(o.f) / sum(o.n) AS mean, sum(o.n * o.rate * o.rate) / sum(o.n) - mean * mean AS spread, true AS others
+            FROM hosts h JOIN hosts o ON o.rule = h.rule AND o.source <> h.source AND o.usual GROUP BY h.rule, h.source)),
+    verdicts AS (
+        SELECT h.source, bool_or((h.f + p.mean * p.weight) / (h.n + p.weight) > CASE WHEN o.mean IS NULL THEN {r.MAX_HOST_RATE} ELSE
+            least({r.MAX_HOST_RATE}, greatest({r.MIN_HOST_LIMIT},
+                o.mean + {r.SPREADS} * sqrt(greatest(o.mean * (1 - o.mean), 0) / (o.weight + 1)))) END) AS condemned
+        FROM hosts h JOIN priors p ON p.rule = h.rule AND NOT p.others
+        LEFT JOIN priors o ON o.rule = h.rule AND o.others AND o.source = h.source GROUP BY h.source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-        NOT base_failed AND coalesce(rate, 0) <= {r.MAX_HOST_RATE} AS kept
-    FROM judged LEFT JOIN rates USING (source)"""
+        NOT base_failed AND NOT coalesce(condemned, false) AS kept
+    FROM judged LEFT JOIN verdicts USING (source)"""
 
 
 def _licenses() -> str:
