@@ -99,6 +99,7 @@ EDITS = (
     "near_edited double, near_next double"
 )
 EDIT_CHARS = 1 << 20  # texts held at once, beside the last
+STRETCH_BYTES = 64 << 20  # of text that one task should read
 
 
 def _edits(pending: list[tuple], following: tuple[str, str] | None = None) -> pa.RecordBatch:
@@ -146,10 +147,17 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pending, held = pending[-1:], len(text)
 
 
+def _stretches(docs: DataFrame) -> int:
+    """Number of stretches: one for every STRETCH_BYTES of text, and enough to keep all cores busy."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(-(-size // STRETCH_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _stretch_bounds(docs: DataFrame, stretches: int) -> list[int]:
-    """Upper ids of the stretches, from approximate quantiles of the ids alone."""
+    """Upper ids of the stretches, from approximate quantiles of the ids alone, exact to a twentieth of a stretch."""
     shares = [i / stretches for i in range(1, stretches)]
-    found = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None
+    exactness = max(10_000, 20 * stretches)
+    found = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", shares, exactness)).first()[0] if shares else None
     return sorted(set(found or []))
 
 
@@ -162,15 +170,14 @@ def fingerprint_edits(docs: DataFrame, stretches: int | None = None) -> DataFram
     without one, are one task's work: ids are taken to be nearly unique).  One row per input row;
     an empty table gives no rows; a single row is its own next.  Other columns are ignored.
 
-    The texts are shuffled once: rows go to stretches of ids, and the first row of each stretch is sent to the stretch
+    The texts are shuffled once: rows go to stretches of ids, as many as the size of the texts asks for, and the first row of each stretch is sent to the stretch
     before it as well, so that every row meets its successor.  Only the stretches' first ids go through the driver.
     """
     need_columns(docs, "doc_id", "text")
     spark = docs.sparkSession
     ready_for_python(spark)
-    stretches = stretches or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = _stretch_bounds(rows, stretches)
+    bounds = _stretch_bounds(rows, stretches or _stretches(rows))
     placed = rows.withColumn("_part", _stretch_of(bounds)(F.col("doc_id")))
     # The first row of each stretch in use: its largest id, then its smallest text.
     first_ids = sorted(
@@ -189,7 +196,8 @@ def fingerprint_edits(docs: DataFrame, stretches: int | None = None) -> DataFram
         .select(F.col("_to").alias("_part"), F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(True).alias("_copy"))
     )
     everything = placed.select("_part", "doc_id", "text", F.lit(False).alias("_copy")).unionByName(copies)
-    ordered = everything.repartition(stretches, "_part").sortWithinPartitions(
+    # A stretch is a task of its own: there are at most len(bounds) + 2 of them, numbered from 0.
+    ordered = everything.repartitionById(len(bounds) + 2, "_part").sortWithinPartitions(
         "_part", "_copy", F.col("doc_id").desc_nulls_last(), "text"
     )
     return ordered.mapInArrow(_walk, EDITS)
