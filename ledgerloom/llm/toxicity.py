@@ -172,17 +172,37 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
+def _first_of_each(usable: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """The rows (doc_id, toxic) with the smallest hashes of each label, MAX_TOXIC and MAX_CLEAN of them.
+
+    A bound of the hash first leaves some four times as many rows as are wanted, so that the tasks that rank them do not
+    grow with the table; a bound that left too few would be raised.
+    """
+    limits = {1: MAX_TOXIC, 0: MAX_CLEAN}
+    wanted = {label: min(n, limits[label]) for label, n in counts.items()}
+    place = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    limit = F.when(F.col("toxic") == 1, MAX_TOXIC).otherwise(MAX_CLEAN)
+    share = 4.0
+    while True:
+        near = F.lit(False)
+        for label, n in counts.items():
+            near = near | ((F.col("toxic") == label) & (place * n <= share * limits[label]))
+        ranked = usable.filter(near).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit)
+        first = materialize(ranked.select("doc_id", "toxic"), "toxicity-ids")
+        found = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if found == wanted:
+            return first
+        share *= 4
+
+
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, int]:
     """Bounded labelled texts (doc_id, text, toxic, fold, weight), the share of toxic labels and their number."""
     usable = labels.filter("toxic is not null and doc_id is not null").filter(learnable(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    limit = F.when(F.col("toxic") == 1, MAX_TOXIC).otherwise(MAX_CLEAN)
     # At most MAX_TOXIC + MAX_CLEAN ids: small enough to send to every task.
-    chosen = usable.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= MAX_TOXIC + MAX_CLEAN).filter(
-        F.col("_k") <= limit
-    ).select(F.col("doc_id").alias("_id"), "toxic")
+    chosen = _first_of_each(usable, counts).select(F.col("doc_id").alias("_id"), "toxic")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
     one = W.partitionBy(F.xxhash64("text")).orderBy(F.col("toxic").desc(), "doc_id")
