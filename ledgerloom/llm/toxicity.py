@@ -33,7 +33,6 @@ from ledgerloom.storage import materialize
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
 THRESHOLD = 0.7
 FOLDS = 3
-CANDIDATES = 4000
 LEAST_LOG_ODDS = 2.5
 COVER = 4  # terms wanted for every toxic text of the sample
 PREFIXES = (3, 4, 5, 6, 7)
@@ -262,15 +261,15 @@ def _lexicons(sample: DataFrame) -> list[Lexicon]:
     n = reduce(lambda a, b: a + b, [F.col(f"n{f}") for f in range(FOLDS)])
     odds = F.log((p + 0.5) / (float(pos.sum()) + 1.0)) - F.log((n + 0.5) / (float(neg.sum()) + 1.0))
     # Half the limit of log-odds here: a lexicon without one fold may still want the term.
-    found = counted.filter((p >= 3) & (odds >= LEAST_LOG_ODDS / 2)).orderBy(p.desc(), "term").limit(CANDIDATES).collect()
+    # The rows of the sample are bounded, and so are the terms that three of its toxic texts hold.
+    found = counted.filter((p >= 3) & (odds >= LEAST_LOG_ODDS / 2)).orderBy(p.desc(), "term").collect()
     terms = [r["term"] for r in found]
     if not terms:
         return [Lexicon({})] * (FOLDS + 1)
     in_p = np.array([[r[f"p{f}"] for f in range(FOLDS)] for r in found])
     in_n = np.array([[r[f"n{f}"] for f in range(FOLDS)] for r in found])
-    held = sample.filter("toxic = 1").select(
-        "fold", F.array_intersect(_terms(F.col("text")), F.array(*[F.lit(t) for t in terms])).alias("held")
-    ).collect()
+    wanted = F.split(F.lit("\n".join(terms)), "\n", -1)
+    held = sample.filter("toxic = 1").select("fold", F.array_intersect(_terms(F.col("text")), wanted).alias("held")).collect()
     place = {t: i for i, t in enumerate(terms)}
     present = np.zeros((len(held), len(terms)), bool)
     for i, r in enumerate(held):
