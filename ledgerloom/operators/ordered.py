@@ -183,3 +183,33 @@ def number_rows(
         stretches.join(small, [*keys, "_part"])
         .select(*df.columns, (F.col("_at") + F.col("_offset")).alias(name))
     )
+
+
+def running_total(
+    df: DataFrame,
+    value: str,
+    order_by: Sequence[Column],
+    keys: Sequence[str] = (),
+    name: str = "before",
+) -> DataFrame:
+    """Add the sum of the whole number ``value`` over all rows before in the given total order, per key if keys are given.
+
+    As in :func:`number_rows` the rows are cut into written stretches of the order.  A window per stretch adds up inside
+    it, the sums of the stretches before it give its offset, and no window covers a whole key.
+    """
+    keys = list(keys)
+    stretches = materialize(
+        df.repartitionByRange(*[F.col(k).asc() for k in keys], *order_by).withColumn("_part", F.spark_partition_id()), name
+    )
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        stretches.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+        .select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = W.partitionBy(*keys, "_part").orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
+    small = broadcast_if_small(offsets) if keys else F.broadcast(offsets)
+    return (
+        stretches.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(small, [*keys, "_part"])
+        .select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(name))
+    )
