@@ -31,9 +31,10 @@ from ledgerloom.storage import materialize
 
 LEAST, TOP, SHARE, SCALE = 10, 2000, 50, 1_000_000
 WORDS = 3
-BLOCK = 4 << 20  # bytes of text counted at once
-STRETCH = 500_000  # words counted at once
-SHARD, SHARD_WORDS = 2_000_000, 500_000  # arcs, and distinct words, beyond which a shard is sent
+# A union works on some twenty arrays of its arcs, of which a task's stretch adds up to three a word: both bound its memory.
+BLOCK = 2 << 20  # bytes of text counted at once
+STRETCH = 250_000  # words counted at once
+SHARD, SHARD_WORDS = 1_000_000, 500_000  # arcs, and distinct words, beyond which a shard is sent
 RANGE_WORDS = 900_000  # distinct words beyond which a range is held in two parts
 SAMPLE_TEXTS, SAMPLE_KEYS, LONGEST_KEY = 4096, 20_000, 200
 RANK_PARTS = 64
@@ -60,10 +61,10 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     at_row = ends[:-1][ends[:-1] < len(data)]
     begins[at_row] = is_word[at_row]
     starts = np.flatnonzero(begins)
-    breaks = (kind == 2).astype(np.int64)
     row = np.searchsorted(ends[1:], starts, side="right")
-    piece = np.cumsum(breaks)[starts] + row if len(starts) else row
-    inner = np.cumsum(is_word)
+    # Counts within a block fit 32 bits; only those at the words are kept.
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts] + row if len(starts) else row
+    inner = np.cumsum(is_word, dtype=np.int32)
     offsets = np.append(inner[starts] - 1, inner[-1] if len(inner) else 0).astype(np.int64)
     kept = np.ascontiguousarray(_LOWER[data[is_word]])
     words = pa.Array.from_buffers(_BINARY, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])

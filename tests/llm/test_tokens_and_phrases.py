@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -279,3 +280,17 @@ def test_real_documents(spark):
             assert aligned[i]["n_a"] == len(tokenizer.encode(" " + t, add_special_tokens=False).ids)
             assert aligned[i]["n_b"] == counted[i]
             assert aligned[i]["n_links"] == aligned[i]["n_a"] + aligned[i]["n_b"] - aligned[i]["n_groups"]
+
+
+def test_a_task_of_many_distinct_phrases_holds_little_memory():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40_000)]
+    texts = [" ".join(rng.choices(words, k=4000)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    tracemalloc.start()
+    sent = [piece for out in phrase_automata._shards({})(iter([batch])) for piece in out.column("blob").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    words_sent = [phrase_automata.CountTransducer.from_bytes(piece).one[1].sum() for piece in sent]
+    assert sum(words_sent) <= 500 * 4000 and len(sent) > 1
