@@ -38,6 +38,7 @@ SHORT_PIECES = 6  # cut from each held-out text
 REJECT_SHARE, REJECT_MARGIN = 0.01, 4.0  # quantile of held-out pieces, and how much further below, in quantile-to-median distances
 LENGTHS = (16, 48, 128, 512)  # numbers of n-grams that bound the length classes
 UNKNOWN = "und"
+SCORED_BYTES = 1 << 18  # of text scored at once; its n-grams take some 120 times as much memory
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
@@ -273,7 +274,7 @@ def language_of(model: LanguageModel):
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             names, scores, known = [], [], []
-            for block in blocks(batch):
+            for block in blocks(batch, SCORED_BYTES):
                 if model.languages:
                     best, p, rejected = model.judge(block)
                     letters = pc.match_substring_regex(block, r"\p{L}").to_numpy(zero_copy_only=False)

@@ -1,6 +1,7 @@
 """The corpus pipeline, its filters over odd tables, and the calibration of language identification."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,26 @@ def test_calibration_has_an_optimum_and_limits_that_act(middle):
             assert not rejected[i]
 
 
+def test_scoring_memory_is_bounded_and_the_same_as_at_once(spark):
+    """A batch of many texts is scored in small blocks: its n-grams must not fill an executor beside the JVM."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)])
+    texts = pa.array([" ".join(rng.choice(words, 700)) for _ in range(1000)] + [None, "", "12"])
+    table, likelihood = rng.normal(0, 1, (langid.BUCKETS, 4)), rng.normal(-9, 1, (langid.BUCKETS, 4)).astype(np.float32)
+    model = langid.LanguageModel(list("abcd"), table, np.zeros(4), 1.0, likelihood, np.full(5, -9.0))
+    best, p, rejected = model.judge(texts.cast(pa.large_string()).fill_null(""))
+    score = language_of(model).func
+    tracemalloc.start()
+    got = pa.concat_arrays(list(score(iter([texts]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 2 << 20 and peak < 80 << 20
+    assert got.field("lang").to_pylist()[:1000] == ["abcd"[b] for b in best[:1000]]
+    assert got.field("lang").to_pylist()[1000:] == ["und"] * 3
+    assert got.field("score").to_pylist()[:1000] == p[:1000].tolist()
+    assert got.field("known").to_pylist() == [*(~rejected[:1000]).tolist(), False, False, False]
+
+
 @pytest.mark.parametrize("left_out", ["de", "es"])
 def test_texts_of_a_left_out_language_are_rejected(middle, left_out):
     model = fit_languages(middle.filter(F.col("lang") != left_out))
