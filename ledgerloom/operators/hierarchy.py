@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.ordered import BUCKET_ROWS, forward_fill, previous_value
 from ledgerloom.schema import LINE_COLUMNS, ORDER_COLUMNS, PERIOD, ROW_NO, SOURCE_FILE, present
-from ledgerloom.storage import materialize
+from ledgerloom.storage import broadcast_if_small, materialize
 
 _CALENDAR = ("year", "month", "ym")
 _SPLIT_COLUMNS = ("product_code", "product_name", "quantity", "unit_price", "subtotal")
@@ -45,33 +45,37 @@ def fill_by_order_id(
     """
     columns = present(df, ORDER_COLUMNS) if columns is None else list(columns)
     header = F.col("order_no").isNotNull()
-    inherited = _inherited_by_headers(df, columns, bucket_rows)
+    rows = df.count()
+    inherited = _inherited_by_headers(df, columns, bucket_rows, rows)
     headers = df.filter(header).join(inherited, [SOURCE_FILE, ROW_NO], "left").select(*[
         F.coalesce(F.col(c), F.col(f"_earlier_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns
     ])
     filled = forward_fill(
-        headers.unionByName(df.filter(~header)).withColumn("_order", F.col("order_no")), [*columns, "_order"],
-        reset=header, bucket_rows=bucket_rows,
+        headers.unionByName(df.filter(~header)), columns, reset=header, reset_position="_head", bucket_rows=bucket_rows, rows=rows,
     )
     return filled.select(*[
-        F.when(F.col("_order").isNotNull(), F.col(c)).alias(c) if c in columns else F.col(c)
+        F.when(F.col("_head").isNotNull(), F.col(c)).alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])
 
 
-def _inherited_by_headers(df: DataFrame, columns: Sequence[str], bucket_rows: int) -> DataFrame:
+def _inherited_by_headers(df: DataFrame, columns: Sequence[str], bucket_rows: int, rows: int) -> DataFrame:
     """Per header of a repeated order (file, row number) the last values of that order's runs above it.
 
     A run is a header with the rows up to the next header.  Only rows with a value of their own can be the last to bring
     one; a fill over those gives each run's last values, and a fill over the runs of each order what the next inherits.
-    Written once: it is small, and the steps of the fill over all rows read it several times.
+    Only files in which an order number is repeated take part.  Written once: it is small, and the steps of the fill over
+    all rows read it several times.
     """
     valued = F.col("order_no").isNotNull()
     for c in columns:
         valued = valued | F.col(c).isNotNull()
+    several = materialize(repeated_orders(df).select(SOURCE_FILE, F.col("order_no").alias("_order")), "repeated")
+    files = broadcast_if_small(several.select(SOURCE_FILE).distinct())
     carried = forward_fill(
-        df.filter(valued).select(SOURCE_FILE, ROW_NO, *dict.fromkeys(["order_no", *columns])).withColumn("_order", F.col("order_no")),
+        df.filter(valued).join(files, SOURCE_FILE, "left_semi").select(SOURCE_FILE, ROW_NO, *dict.fromkeys(["order_no", *columns])).withColumn("_order", F.col("order_no")),
         [*columns, "_order"], reset=F.col("order_no").isNotNull(), reset_position="_head", bucket_rows=bucket_rows,
+        rows=rows,
     )
     keys = [SOURCE_FILE, "_order"]
     last = F.max(F.struct(ROW_NO, *columns)).alias("_last")
@@ -79,9 +83,9 @@ def _inherited_by_headers(df: DataFrame, columns: Sequence[str], bucket_rows: in
         carried.filter("_order is not null").groupBy(*keys, "_head").agg(last)
         .select(*keys, "_head", *[F.col("_last")[c].alias(c) for c in columns])
     )
-    several = repeated_orders(df).select(SOURCE_FILE, F.col("order_no").alias("_order"))
     above = forward_fill(
         materialize(ends.join(several, keys, "left_semi"), "runs"), columns, keys=keys, order_by="_head", bucket_rows=bucket_rows, only_above=True,
+        rows=rows,
     )
     given = above.select(SOURCE_FILE, F.col("_head").alias(ROW_NO), *[F.col(c).alias(f"_earlier_{c}") for c in columns])
     return materialize(given, "inherited")

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import sum_or_zero, try_ratio
 from ledgerloom.operators.cleaning import fill_defaults
 from ledgerloom.operators.ordered import number_rows
-from ledgerloom.operators.products import period_columns, pivot_months, product_totals
+from ledgerloom.operators.products import (
+    MONTHS, gathered_rows, months_in, period_columns, pivot_months, product_totals, show_months,
+)
 from ledgerloom.schema import PERIOD, ROW_NO, SOURCE_FILE, present
+from ledgerloom.storage import materialize
 
 
 def latest_per_sku(inventory: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -150,26 +153,48 @@ def sku_sales(
     inventory: DataFrame, lines: DataFrame, months: Sequence[str] | None = (), on_duplicate: str = "last"
 ) -> DataFrame:
     """Every SKU with stock, vendor, quantity and amount sold, and month columns."""
+    table, months, _ = _skus_sold(inventory, lines, months, on_duplicate, None)
+    return show_months(table, months, "sales_quantity", "sales_amount") if MONTHS in table.columns else table
+
+
+def _skus_sold(
+    inventory: DataFrame, lines: DataFrame, months: Sequence[str] | None, on_duplicate: str, sized_by: DataFrame | None
+) -> tuple[DataFrame, Sequence[str], int | None]:
+    """:func:`sku_sales` with the months still in their map, the months to show, and a number of products sold at most."""
     columns = ["product_name", "stock", "vendor_short"]
     named = inventory.withColumn("stock", F.col("on_hand"))
     if on_duplicate == "last":
         skus = latest_per_sku(named, columns)
     else:
         skus = named.select("product_code", *columns)
-    sold = product_totals(lines, ["product_code"], "sales_quantity", "sales_amount", months)
-    added = [c for c in sold.columns if c != "product_code"]
-    joined = skus.join(sold, "product_code", "left").select(
-        "product_code", *columns, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in added]
-    )
-    return fill_defaults(joined)
+    rows = None
+    if months is not None and not months:
+        sold = product_totals(lines, ["product_code"], "sales_quantity", "sales_amount")
+    else:
+        sold, rows = gathered_rows(lines, ["product_code"], sized_by)
+        sold = sold.withColumnsRenamed({"quantity": "sales_quantity", "subtotal": "sales_amount"})
+        if months is None:
+            sold = materialize(sold, "months")
+            months = months_in(sold)
+    shown = [F.col(c) if c == MONTHS else F.coalesce(c, F.lit(0)).alias(c) for c in sold.columns if c != "product_code"]
+    joined = skus.join(sold, "product_code", "left").select("product_code", *columns, *shown)
+    return fill_defaults(joined), months, rows
 
 
 def all_sku_sales(
-    inventory: DataFrame, lines: DataFrame, months: Sequence[str] | None = None, on_duplicate: str = "last"
+    inventory: DataFrame, lines: DataFrame, months: Sequence[str] | None = None, on_duplicate: str = "last",
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """:func:`sku_sales` with rank 1..n by amount over the whole inventory, by default with all months."""
-    table = sku_sales(inventory, lines, months, on_duplicate)
-    return number_rows(table, [F.desc("sales_amount"), F.asc("product_code"), F.asc("stock")])
+    """:func:`sku_sales` with rank 1..n by amount over the whole inventory, by default with all months.
+
+    ``sized_by`` as in :func:`ledgerloom.operators.products.gather_months`.
+    """
+    table, months, rows = _skus_sold(inventory, lines, months, on_duplicate, sized_by)
+    order = [F.desc("sales_amount"), F.asc("product_code"), F.asc("stock")]
+    if MONTHS not in table.columns:
+        return number_rows(table, order)
+    ranked = number_rows(table, order, rows=max(rows, inventory.count()))
+    return show_months(ranked, months, "sales_quantity", "sales_amount")
 
 
 def inventory_kpis(inventory: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ into buckets of consecutive row numbers:
 * a window per (file, bucket) does the rest, and the inherited values join in on the
   partitioning that window needs anyway.
 
-With 262,144 rows per bucket, 2e11 rows shrink to under a million bucket rows.
+With 262,144 rows per bucket, 2e11 rows shrink to under a million bucket rows.  The
+number of tasks of that window follows the number of rows, which are counted first: a
+fixed number lets its sorts outgrow a task's memory and spill.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import ROW_NO, SOURCE_FILE
-from ledgerloom.storage import broadcast_if_small, materialize
+from ledgerloom.storage import broadcast_if_small, materialize, tasks_for
 
 BUCKET_ROWS = 1 << 18
 
@@ -37,6 +39,17 @@ def _with_bucket(df: DataFrame, order_by: str, bucket_rows: int) -> DataFrame:
     return df.withColumn(_BUCKET, F.floor(F.col(order_by) / F.lit(bucket_rows)).cast("bigint"))
 
 
+def _dealt(bucketed: DataFrame, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """Bucketed rows in as many tasks as keep their sort in memory; the session's own number where that is enough.
+
+    Only then are the rows dealt by name: a shuffle that a window asks for itself goes when nobody reads its result.
+    """
+    spark = bucketed.sparkSession
+    n = tasks_for(spark, bucketed.count() if rows is None else rows)
+    enough = n <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed if enough else bucketed.repartition(n, *keys, _BUCKET)
+
+
 def _at(order_by: str, column: str) -> Column:
     """(position, value) of a non-null cell; the maximum is the latest one."""
     return F.when(
@@ -91,12 +104,14 @@ def forward_fill(
     reset_position: str | None = None,
     bucket_rows: int = BUCKET_ROWS,
     only_above: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Replace nulls by the last value above them within the same key.
 
     ``reset`` marks rows that start a new group: nothing is filled across them.  With
     ``reset_position`` the position of the last reset at or above each row is added.
     ``only_above`` gives every row the last value of the rows before it, not its own.
+    ``rows``, at least the number of rows, saves counting them.
     """
     keys = list(keys)
     order = df.columns
@@ -106,7 +121,7 @@ def forward_fill(
 
     last = -1 if only_above else 0
     so_far = W.partitionBy(*keys, _BUCKET).orderBy(order_by).rowsBetween(W.unboundedPreceding, last)
-    scanned = bucketed.select(
+    scanned = _dealt(bucketed, keys, rows).select(
         *[c for c in bucketed.columns if c != _RESET],
         F.max(_RESET).over(so_far).alias(_RESET),
         *[F.max(_at(order_by, c)).over(so_far).alias(_SEEN + c) for c in columns],
@@ -140,7 +155,7 @@ def previous_value(
     inherited = _inherited(bucketed, keys, order_by, [column]).drop(_START)
     above = F.lag(column).over(W.partitionBy(*keys, _BUCKET).orderBy(order_by))
     return (
-        bucketed.withColumn(name, above)
+        _dealt(bucketed, keys, None).withColumn(name, above)
         .join(inherited, [*keys, _BUCKET], "left")
         .select(*df.columns, F.coalesce(name, _HELD + column).alias(name))
     )
@@ -151,6 +166,7 @@ def number_rows(
     order_by: Sequence[Column],
     keys: Sequence[str] = (),
     name: str = "rank",
+    rows: int | None = None,
 ) -> DataFrame:
     """Number all rows 1..n in the given total order, per key if keys are given.
 
@@ -158,11 +174,14 @@ def number_rows(
     can number its rows by position; a running count over the stretches adds the
     offset.  The range bounds are sampled, so the partitioned rows are written once and
     both steps read that copy.  ``order_by`` must be unique for a repeatable result.
+    With ``rows``, at least the number of rows, the stretches are as many as keep the sort
+    of each in memory; without it as many as the session's shuffle partitions.
     """
     keys = list(keys)
     order = [*[F.col(k).asc() for k in keys], *order_by]
+    n = [] if rows is None else [tasks_for(df.sparkSession, rows)]
     stretches = materialize(
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*n, *order)
         .sortWithinPartitions(*order)
         .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}),
         name,
@@ -177,7 +196,7 @@ def number_rows(
         "_part",
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
     )
-    # Without keys there are at most as many stretches as shuffle partitions.
+    # Without keys there is one row per stretch.
     small = broadcast_if_small(offsets) if keys else F.broadcast(offsets)
     return (
         stretches.join(small, [*keys, "_part"])

@@ -18,6 +18,7 @@ from ledgerloom.plans import landing
 from ledgerloom.plans.reports import month_report
 from ledgerloom.schema import PERIOD, POSITION, ROW_NO, SOURCE_FILE, check_contract, resolve_aliases
 from ledgerloom.sources import exports
+from ledgerloom.storage import materialize
 from ledgerloom.streaming.incremental import land_and_wait, read_uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -671,7 +672,7 @@ def _(spark, sf):
 
 @query("e17_rank_sold_products")
 def _(spark, sf):
-    ranked = products.rank_sold_products(_lines(spark, sf))
+    ranked = products.rank_sold_products(_lines(spark, sf), sized_by=landing.sales(spark, sf))
     return _plain(inventory.add_vendor(ranked, landing.inventory(spark, sf)))
 
 
@@ -682,7 +683,7 @@ def _(spark, sf):
 
 @query("e19_all_sku_sales")
 def _(spark, sf):
-    return _plain(inventory.all_sku_sales(landing.inventory(spark, sf), _lines(spark, sf)))
+    return _plain(inventory.all_sku_sales(landing.inventory(spark, sf), _lines(spark, sf), sized_by=landing.sales(spark, sf)))
 
 
 @query("e20_inventory_kpis")
@@ -795,6 +796,6 @@ def _(spark, sf):
 
 @query("f7_attach_months")
 def _(spark, sf):
-    lines = _lines(spark, sf)
+    lines = materialize(products.gather_months(_lines(spark, sf), sized_by=landing.sales(spark, sf)), "months")
     ranked = products.rank_sold_products(lines, ())
     return _plain(products.attach_months(ranked, products.pivot_months(lines)))

@@ -77,12 +77,12 @@ def month_report(
         "top": products.top_n_products(lines),
     }
     if stock is not None:
-        ranked = inventory.all_sku_sales(stock, lines, months)
+        ranked = inventory.all_sku_sales(stock, lines, months, sized_by=sales)
         tables["ranking"] = ranked
         tables["ranking_text"] = products.flag_unsold(ranked)
         tables["coverage"] = metrics.coverage_counts(orders, lines, ranked)
     else:
-        tables["ranking"] = products.rank_sold_products(lines, months)
+        tables["ranking"] = products.rank_sold_products(lines, months, sized_by=sales)
         tables["coverage"] = metrics.coverage_counts(orders, lines)
     return tables
 
