@@ -86,10 +86,12 @@ def report_calendar(
     ``fallback``: ``none``; ``rows`` takes the month of the file name, else ``run_month`` (by default the current one), for
     each row without a month; ``table`` does so only when no row of the table has one.
 
-    A table without the date column has no dates.  The switch of ``table`` is a value inside the plan.
+    A table without the date column has no dates; without the raw one too the switch of ``table`` is known to be on.
+    Otherwise it is a value inside the plan.
     """
     if fallback not in ("none", "rows", "table"):
         raise ValueError("fallback is 'none', 'rows' or 'table'")
+    undated = date not in df.columns and raw not in df.columns
     if date not in df.columns:
         df = df.withColumn(date, F.lit(None).cast("date"))
     dated = derive_calendar(df, date, raw if raw in df.columns else None)
@@ -99,7 +101,7 @@ def report_calendar(
         names.period_in_name(F.col(SOURCE_FILE)), F.lit(run_month)
     )
     acts = F.lit(True)
-    if fallback == "table":
+    if fallback == "table" and not undated:
         acts = dated.agg(F.count("ym") == 0).scalar()
     ym = F.coalesce("ym", F.when(acts, stamped))
     year, month = F.substring(ym, 1, 4).try_cast("int"), F.substring(ym, 6, 2).try_cast("int")

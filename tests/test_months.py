@@ -1,4 +1,4 @@
-"""Month columns of all products: narrow rows move, each product's months as one map, and the columns come last."""
+"""Months, fills and levels of large tables: narrow rows move, a product's months as one map, and wide rows come last."""
 
 import glob
 import random
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import storage
-from ledgerloom.operators import hierarchy, inventory, products
+from ledgerloom.operators import cleaning, hierarchy, inventory, products
 from ledgerloom.storage import session_folder
 
 SCHEMA = "product_code string, product_name string, ym string, quantity decimal(18,4), subtotal decimal(18,4)"
@@ -24,6 +24,16 @@ def shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.fixture
+def sales_rows(spark):
+    """Rows of two exports, every fourth one a header, all with a product."""
+    return spark.range(60).selectExpr(
+        "concat('sales_20250', id % 2 + 1, '01_end.csv') as source_file", "id div 2 as row_no",
+        "case when id div 2 % 4 = 0 then concat('S', id) end as order_no", "concat('P', id) as product_code",
+        "cast(id as decimal(18,4)) as quantity", "cast(id as decimal(18,4)) as subtotal",
+    )
+
+
 def random_lines(seed, size=900):
     """Lines of 40 products, one of which holds half of them; some without code, name, month or amount."""
     rng = random.Random(seed)
@@ -159,3 +169,12 @@ def test_files_without_a_repeated_order_inherit_nothing(spark, monkeypatch):
     assert {(r.source_file, r.row_no): r.total_amount for r in got} == {
         ("f", 1): 5, ("f", 2): 5, ("g", 1): 7, ("g", 2): 8, ("g", 3): 7, ("g", 4): 7}
     assert {r.source_file for r in seen[0].collect()} == {"g"}
+
+
+def test_report_without_dates_needs_no_count_of_them(spark, sales_rows, capsys):
+    """No column can give a month: that the switch to the file names is on need not be found by reading the table."""
+    dated = cleaning.report_calendar(sales_rows, "order_date", None, "table")
+    dated.explain()
+    assert "ubquery" not in capsys.readouterr().out
+    assert {(r.year, r.month, r.ym) for r in dated.collect()} == {(2025, 1, "2025-01"), (2025, 2, "2025-02")}
+    assert cleaning.report_calendar(sales_rows.filter("false"), "order_date", None, "table").count() == 0
