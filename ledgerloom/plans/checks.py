@@ -672,8 +672,10 @@ def _(spark, sf):
 
 @query("e17_rank_sold_products")
 def _(spark, sf):
-    ranked = products.rank_sold_products(_lines(spark, sf), sized_by=landing.sales(spark, sf))
-    return _plain(inventory.add_vendor(ranked, landing.inventory(spark, sf)))
+    stock = landing.inventory(spark, sf)
+    return _plain(products.rank_sold_products(
+        _lines(spark, sf), sized_by=landing.sales(spark, sf), lookup=lambda ranked: inventory.add_vendor(ranked, stock)
+    ))
 
 
 @query("e18_top_n_products")
