@@ -112,14 +112,29 @@ def order_headers(df: DataFrame) -> DataFrame:
     return first_per_order(df.filter(F.col("order_no").isNotNull()))
 
 
-def split_rule(df: DataFrame) -> DataFrame:
+def _split_columns(df: DataFrame, unfilled: DataFrame | None) -> list[str]:
+    """Product columns that may tell orders from lines: the first one filled in only some rows, once it is known."""
+    checked = present(df, _SPLIT_COLUMNS)
+    if unfilled is None or not checked:
+        return checked
+    found = unfilled.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in checked]).first()
+    return [c for c in checked if 1 <= found[c] < found["rows"]][:1]
+
+
+def split_rule(df: DataFrame, unfilled: DataFrame | None = None) -> DataFrame:
     """C4: how a table without ``is_header`` tells orders from lines, as one row.
 
     ``header`` when only some rows have an order number; otherwise the first product
     column filled in only some rows, provided the number of orders is within 10 % of
     the rows of the order rows seen; otherwise ``first_row`` of every order.
+
+    ``unfilled`` is the same rows before a fill that left their product columns as they are: these are counted there when
+    this is called, so that they need not follow the order numbers through the fill.
     """
-    checked = present(df, _SPLIT_COLUMNS)
+    return _split_rule(df, _split_columns(df, unfilled))
+
+
+def _split_rule(df: DataFrame, checked: Sequence[str]) -> DataFrame:
     facts = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("order_no").alias("order_rows"),
@@ -140,16 +155,17 @@ def split_rule(df: DataFrame) -> DataFrame:
 
 
 def split_levels(
-    df: DataFrame, rule: str | None = None, header_products: str = "keep"
+    df: DataFrame, rule: str | None = None, header_products: str = "keep", unfilled: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """C4: orders table and lines table.
 
     ``rule`` is one of the values of :func:`split_rule`, or ``auto``: the table's own rule is then a value inside the plan, and
-    no job runs before a table is read.  Without a rule the header mark of C1 decides.  With ``header_products='keep'``
-    every row that carries a product is a line, also a header row; ``'drop'`` takes non-header rows only.
+    no job runs before a table is read (but those of ``unfilled``).  Without a rule the header mark of C1 decides.  With ``header_products='keep'``
+    every row that carries a product is a line, also a header row; ``'drop'`` takes non-header rows only.  ``unfilled`` as
+    in :func:`split_rule`.
     """
     if rule == "auto":
-        marked = _mark_by_own_rule(df)
+        marked = _mark_by_own_rule(df, unfilled)
     elif "is_header" in df.columns and rule is None:
         marked = df
     elif rule in (None, "header"):
@@ -171,11 +187,12 @@ def split_levels(
     return orders, lines
 
 
-def _mark_by_own_rule(df: DataFrame) -> DataFrame:
+def _mark_by_own_rule(df: DataFrame, unfilled: DataFrame | None = None) -> DataFrame:
     """Header mark after the rule that :func:`split_rule` finds, without knowing it while the plan is built."""
-    rule = split_rule(df).select("rule").scalar()
+    checked = _split_columns(df, unfilled)
+    rule = _split_rule(df, checked).select("rule").scalar()
     by_column = F.lit(False)
-    for c in present(df, _SPLIT_COLUMNS):
+    for c in checked:
         by_column = by_column | ((rule == c) & F.col(c).isNull())
     marked = _mark_first_rows(df.drop("is_header"))
     own = F.when(rule == "header", F.col("order_no").isNotNull()).when(rule == "first_row", F.col("is_header"))

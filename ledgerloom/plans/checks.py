@@ -456,8 +456,8 @@ def _(spark, sf):
 
 @query("c4_split_rule")
 def _(spark, sf):
-    filled = hierarchy.fill_order_info(landing.sales(spark, sf), ["order_no"])
-    return hierarchy.split_rule(filled)
+    sales = landing.sales(spark, sf)
+    return hierarchy.split_rule(hierarchy.fill_order_info(sales, ["order_no"]), unfilled=sales)
 
 
 def _paired_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -482,8 +482,9 @@ def _(spark, sf):
 @query("c4_split_by_first_row")
 def _(spark, sf):
     """A filled table: the first row of every order number is the order, the rest are lines."""
-    filled = hierarchy.fill_order_info(landing.sales(spark, sf), ["order_no"])
-    orders, lines = hierarchy.split_levels(filled, "auto", "drop")
+    sales = landing.sales(spark, sf)
+    filled = hierarchy.fill_order_info(sales, ["order_no"])
+    orders, lines = hierarchy.split_levels(filled, "auto", "drop", unfilled=sales)
     one = orders.select(*POSITION, "order_no", F.lit("order").alias("level"))
     return one.unionByName(lines.select(*POSITION, "order_no", F.lit("line").alias("level")))
 

@@ -178,3 +178,17 @@ def test_report_without_dates_needs_no_count_of_them(spark, sales_rows, capsys):
     assert "ubquery" not in capsys.readouterr().out
     assert {(r.year, r.month, r.ym) for r in dated.collect()} == {(2025, 1, "2025-01"), (2025, 2, "2025-02")}
     assert cleaning.report_calendar(sales_rows.filter("false"), "order_date", None, "table").count() == 0
+
+
+def test_split_by_own_rule_moves_no_product_columns(spark, sales_rows, shuffled, capsys):
+    filled = hierarchy.fill_order_info(sales_rows, ["order_no"])
+    plain = [t.select("source_file", "row_no", "order_no") for t in hierarchy.split_levels(filled, "auto", "drop")]
+    found = [t.select("source_file", "row_no", "order_no") for t in hierarchy.split_levels(filled, "auto", "drop", unfilled=sales_rows)]
+    assert [sorted(map(tuple, t.collect())) for t in found] == [sorted(map(tuple, t.collect())) for t in plain]
+    assert hierarchy.split_rule(filled, sales_rows).first() == hierarchy.split_rule(filled).first()
+    for t in found:
+        t.explain("formatted")
+    assert "subtotal" not in capsys.readouterr().out
+    sparse = sales_rows.withColumn("quantity", F.when(F.col("row_no") % 2 == 0, F.col("quantity")))
+    ordered = sparse.withColumn("order_no", F.concat("source_file", F.col("row_no").cast("string")))
+    assert hierarchy.split_rule(ordered, sparse).first().rule == hierarchy.split_rule(ordered).first().rule == "quantity"
