@@ -92,7 +92,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Exports of one name in two folders, one of them appended to: every row at its place in its own export."""
     rows = exports.read_sales(spark, landing.twin_exports(spark, sf))
-    placed = number_rows(rows, [F.col(ROW_NO).asc()], [SOURCE_FILE], "place")
+    rows = rows.select(SOURCE_FILE, ROW_NO, PERIOD, "order_no", "product_code", "subtotal")
+    placed = number_rows(rows, [F.col(ROW_NO).asc()], [SOURCE_FILE], "place", rows=rows.count())
     return placed.select(SOURCE_FILE, "place", PERIOD, "order_no", "product_code", "subtotal")
 
 
